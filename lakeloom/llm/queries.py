@@ -27,3 +27,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import bpe
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of every whole document and the groups they form within two bits."""
+    from lakeloom.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
