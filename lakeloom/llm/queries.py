@@ -35,3 +35,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole document by a sparse rule ensemble learnt from the labels."""
+    from lakeloom.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
