@@ -17,6 +17,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, controls and ASCII punctuation: what lies between words that are compared without punctuation.
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -75,11 +78,11 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         i = j
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lowered bytes, word starts, word ends, first word of each text: one more than there are texts)."""
     low = LOWER[data]
     word = np.zeros(len(low) + 2, dtype=bool)
-    np.logical_not(SPACE[low], out=word[1:-1])
+    np.logical_not(blank[low], out=word[1:-1])
     edge = np.zeros(len(low) + 1, dtype=bool)
     edge[offs] = True
     inner = word[1:-1]

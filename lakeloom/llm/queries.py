@@ -43,3 +43,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import quality
 
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark item, with the item and its similarity."""
+    from lakeloom.llm import decontam
+
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
