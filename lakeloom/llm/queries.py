@@ -51,3 +51,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import decontam
 
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: base spans, and those that context patterns discover."""
+    from lakeloom.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
