@@ -59,3 +59,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import pii
 
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole document, over a public vocabulary's pieces and scores."""
+    import public_tokenizers
+
+    from lakeloom.llm import unigram
+
+    return unigram.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
