@@ -69,3 +69,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import unigram
 
     return unigram.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector among all vectors."""
+    from lakeloom.llm import ann
+
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
