@@ -75,7 +75,14 @@ class ByteBpe:
         return ids
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; every merge of the vocabulary is applied to all words at once, in rank order."""
+        """Ids of each word; every merge of the vocabulary is applied to all words at once, in rank order.
+
+        A word that is itself in the vocabulary is that id, even if no merges lead there.
+        """
+        whole = [self.ranks.get(w) for w in words]
+        if any(i is not None for i in whole):
+            rest = iter(self.replay([w for w, i in zip(words, whole) if i is None]))
+            return [next(rest) if i is None else [i] for i in whole]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
@@ -127,6 +134,7 @@ class ByteBpe:
                     at = at[(np.arange(len(at)) - begin) % 2 == 0]
             gone = nxt[at]
             after = nxt[gone]
+            right = sym[after]
             sym[at] = r
             alive[gone] = False
             rank[gone] = NONE
@@ -134,11 +142,13 @@ class ByteBpe:
             tail = after >= 0
             prv[after[tail]] = at[tail]
             rank[at] = NONE
+            # pairs as they are when only the merges to the left are done: a lower rank here would come first
+            amid = at[tail][self._rank(r * self.width + right[tail]) < r]
             before = prv[at]
             touched = np.unique(np.concatenate([at[tail], before[before >= 0]]))
             if len(touched):
                 rank[touched] = self._rank(sym[touched] * self.width + sym[nxt[touched]])
-                lower = touched[rank[touched] < r]
+                lower = np.concatenate([touched[rank[touched] < r], amid])
                 if len(lower):
                     for w in np.unique(word_of[lower]).tolist():
                         alone.add(w)
