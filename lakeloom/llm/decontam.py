@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,18 +160,22 @@ def _search_batches(batches: Iterable[pa.RecordBatch], index: ItemIndex) -> Iter
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["key", "item_id", "similarity", "start_word", "n_words"])
 
 
-def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, item_id, similarity, start_word, n_words): every document and item of 0.8 or more, with the best window."""
-    spark = docs.sparkSession
+def _indexes(items: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """The items in blocks of bounded size, each broadcast as an index."""
     items = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        block = [tuple(r) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()]
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex(block))
+
+
+def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, item_id, similarity, start_word, n_words): every document and item of 0.8 or more, with the best window."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     out = None
-    for k in range(blocks):
-        block = [tuple(r) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()]
-        held = spark.sparkContext.broadcast(ItemIndex(block))
+    for held in _indexes(items, block_bytes):
         part = rows.mapInArrow(lambda it, held=held: _search_batches(it, held.value), f"key {kind}, item_id bigint, similarity double, start_word bigint, n_words bigint")
         out = part if out is None else out.union(part)
     best = F.max_by(F.struct("start_word", "n_words"), F.struct("similarity", -F.col("start_word"))).alias("b")
@@ -178,7 +183,17 @@ def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     return out.select(F.col("key").alias(key), "item_id", "similarity", "b.start_word", "b.n_words")
 
 
-def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without any passage of an item, all columns as they were; rows with a null key stay."""
-    hits = find(docs, items, key=key, text=text).where(F.col(key).isNotNull()).select(key).distinct()
-    return docs.join(hits, key, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any passage of an item, all columns as they were. Rows are judged where they lie: no shuffle."""
+
+    def keep(batches: Iterable[pa.RecordBatch], index: ItemIndex, at: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = np.ones(batch.num_rows, dtype=bool)
+            for i, _, data, offs in slices(batch.column(at)):
+                for d, _item in index.search(data, offs):
+                    stay[i + d] = False
+            yield batch.filter(pa.array(stay))
+
+    for held in _indexes(items, block_bytes):
+        docs = docs.mapInArrow(lambda it, held=held, at=docs.columns.index(text): keep(it, held.value, at), docs.schema)
+    return docs

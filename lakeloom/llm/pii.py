@@ -88,13 +88,13 @@ def _kind_like(value: str) -> str:
         when {value} rlike {_quoted('^' + _PHONE_LIKE + '$')} and length({d}) between 7 and 15 then 3 else -1 end"""
 
 
-def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, others): arrays of spans (kind, start, stop, value, context) of each row.
+def extract(docs: DataFrame, *, key: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """(key, base, others): with key None the whole row, as a struct; arrays of spans (kind, start, stop, value, context) of each row.
 
     base: valid base spans by kind, then start. others: identifier-like strings that overlap no base span, kind -1
     where they have no kind's form. Within a text the arrays are built in one pass over its matches.
     """
-    rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    rows = docs.select((docs[key] if key else F.struct("*")).alias("key"), F.coalesce(docs[text], F.lit("")).alias("t"))
     pieces = ["key", "t"]
     none = "cast(array() as array<string>)"
     for kind, pattern in BASE.items():
@@ -128,14 +128,14 @@ def patterns(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT,
     return trust.where(F.col("confidence") >= confidence)
 
 
-def detect(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, *, key: str | None = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, added): base spans and discovered spans of each row, each an array by kind, then start."""
     found = written(extract(docs, key=key, text=text).withColumn("row", F.monotonically_increasing_id()))
     trust = patterns(found)
     likes = found.selectExpr("row", "explode(others) s").where("s.kind >= 0").selectExpr("row", "s.kind kind", "s.context context", "s")
     added = likes.join(trust.select("kind", "context"), ["kind", "context"]).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    return found.join(added, "row", "left").select(F.col("key").alias(key), "base", F.coalesce("added", none).alias("added"))
+    return found.join(added, "row", "left").select("key", "base", F.coalesce("added", none).alias("added"))
 
 
 def _joined(spans: str) -> str:
@@ -144,25 +144,18 @@ def _joined(spans: str) -> str:
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone: counts of all spans; base_sha256; spans) of each row."""
-    found = detect(docs, key=key, text=text).selectExpr(f"`{key}`", "base", "array_sort(concat(base, added)) spans_")
+    """(key, n_email, n_ip, n_card, n_phone: counts of base spans; base_sha256; spans; n_added) of each row."""
+    found = detect(docs, key=key, text=text).selectExpr("key", "base", "array_sort(concat(base, added)) spans_")
     counts = [f"cast(size(filter(base, s -> s.kind = {i})) as bigint) n_{k}" for i, k in enumerate(KINDS)]
-    return found.selectExpr(f"`{key}`", *counts, f"sha2({_joined('base')}, 256) base_sha256", f"{_joined('spans_')} spans", "cast(size(spans_) - size(base) as bigint) n_added")
+    return found.selectExpr(f"key `{key}`", *counts, f"sha2({_joined('base')}, 256) base_sha256", f"{_joined('spans_')} spans", "cast(size(spans_) - size(base) as bigint) n_added")
 
 
-def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span's characters replaced by its kind in angle brackets; other columns as they were."""
-    columns = docs.columns
+def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """docs with every span's characters replaced by its kind in angle brackets; other columns and clean texts as they were."""
     names = ", ".join(f"'<{k}>'" for k in KINDS)
-    found = written(extract(docs, key=key, text=text).withColumn("row", F.monotonically_increasing_id()))
-    trust = patterns(found)
-    trusted = trust.select("kind", F.col("context").alias("c"))
-    spans = found.selectExpr("key", "base").selectExpr("key", "explode(base) s").select("key", "s")
-    likes = found.selectExpr("key", "explode(others) s").where("s.kind >= 0")
-    extra = likes.join(trusted, (F.col("s.kind") == F.col("kind")) & (F.col("s.context") == F.col("c"))).select("key", "s")
-    each = spans.union(extra).where("key is not null").groupBy("key").agg(F.array_sort(F.collect_set(F.expr("named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind)"))).alias("found_spans"))
-    out = docs.join(each.withColumnRenamed("key", "found_key"), F.col("found_key") == docs[key], "left")
-    cutting = f"""aggregate(found_spans, named_struct('p', 0L, 'a', cast(array() as array<string>)),
-        (s, x) -> if(x.stop <= s.p, s, named_struct('p', x.stop, 'a', concat(s.a, array(substring(`{text}`, int(s.p + 1), int(greatest(x.start - s.p, 0L))), element_at(array({names}), x.kind + 1))))),
-        s -> concat(array_join(s.a, ''), substring(`{text}`, int(s.p + 1), length(`{text}`))))"""
-    return out.withColumn(text, F.when(F.col("found_spans").isNull(), F.col(text)).otherwise(F.expr(cutting))).select(columns)
+    found = detect(docs, key=None, text=text).withColumn("t", F.col(f"key.`{text}`"))
+    found = found.selectExpr("key", "t", "array_sort(transform(concat(base, added), s -> named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind))) spans")
+    cutting = f"""if(size(spans) = 0, t, aggregate(spans, named_struct('p', 0L, 'a', cast(array() as array<string>)),
+        (s, x) -> if(x.stop <= s.p, s, named_struct('p', x.stop, 'a', concat(s.a, array(substring(t, int(s.p + 1), int(greatest(x.start - s.p, 0L))), element_at(array({names}), x.kind + 1))))),
+        s -> concat(array_join(s.a, ''), substring(t, int(s.p + 1), length(t)))))"""
+    return found.select(*[F.expr(cutting).alias(c) if c == text else F.col(f"key.`{c}`") for c in docs.columns])

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lakeloom.llm._durable import written
 from lakeloom.llm._text import U64, shingle_hashes, slices, span_hashes, word_spans
@@ -89,19 +90,23 @@ def measure(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.hstack([chars, np.stack(out, axis=1)])
 
 
-def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, FEATURES...) of each row; rows are independent and nothing is shuffled."""
+def _measured(rows: DataFrame) -> DataFrame:
+    """(kept, FEATURES...) of rows (kept, text); rows are independent and nothing is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [measure(data, offs) for _, _, data, offs in slices(batch.column(1))]
             if parts:
                 found = np.vstack(parts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(FEATURES)))], ["key", *FEATURES])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(FEATURES)))], ["kept", *FEATURES])
+
+    schema = StructType([rows.schema["kept"], *(StructField(f, DoubleType()) for f in FEATURES)])
+    return rows.mapInArrow(run, schema)
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, " + ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+
+def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, FEATURES...) of each row."""
+    return _measured(docs.select(docs[key].alias("kept"), docs[text].alias("text"))).withColumnRenamed("kept", "key")
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, is it above, threshold), all of which must hold
@@ -224,3 +229,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     model = fit(*labelled_sample(stats, labels, label, rows))
     out = stats.select(F.col("key").alias(key), (F.crc32(F.col("key").cast("string")) % 5 == 0).alias("held_out"), score_column(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, all columns as they were.
+
+    Statistics are taken twice, once to fit and once to decide: cheaper than to shuffle the texts to their scores.
+    """
+    stats = written(statistics(docs, key=key, text=text))
+    model = fit(*labelled_sample(stats, labels, label, rows))
+    measured = _measured(docs.select(F.struct("*").alias("kept"), docs[text].alias("text")))
+    return measured.where(score_column(model) >= threshold).select("kept.*")
