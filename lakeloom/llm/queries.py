@@ -77,3 +77,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import ann
 
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page."""
+    from lakeloom.llm import html_text
+
+    return html_text.main_text(table(spark, sf_dir, "pages"))
