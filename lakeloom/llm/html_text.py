@@ -5,7 +5,7 @@ notices, adverts, forms, scripts, styles, reader comments) never counts as text.
 (article, else main), its lines are the text, all of them: lines that articles have in common, such as quotes and copies,
 are content. Otherwise pages are paired by URL: within a host, sorted by path, a page's partner is the neighbour with the
 longer common path. The lines of both pages are aligned by a longest common subsequence and the shared ones are
-deleted - unless they are most of the page, which then is a copy of its partner and not a template around other content.
+deleted - unless they are nearly all of the page, which then is a copy of its partner and not a template around other content.
 
 Pages are parsed once. What is shuffled is line hashes, and the lines of pages without a marked article.
 Defined results: null html is empty, and gives an empty text; repeated page ids pair alike; pages without lines are no partners, and pages with null id or
@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from lakeloom.llm._durable import written
 
 #: A page whose partner shares more than this part of its characters is a copy: nothing is deleted.
-COPY_SHARE = 0.7
+COPY_SHARE = 0.9
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _ATTR = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
