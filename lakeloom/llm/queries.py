@@ -85,3 +85,11 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import html_text
 
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole document by a class-based bigram model, and by word frequencies."""
+    from lakeloom.llm import class_lm
+
+    return class_lm.score(table(spark, sf_dir, "documents"))
