@@ -93,3 +93,11 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import class_lm
 
     return class_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole document without the passages that an earlier place has."""
+    from lakeloom.llm import repeats
+
+    return repeats.remove(table(spark, sf_dir, "documents"), with_text=False)
