@@ -24,9 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lakeloom.llm._text import slices
+
 NONE = np.int64(1 << 40)
 #: Pre-tokens kept in a worker's memory with their ids; beyond it the table starts anew (speed only, results are the same).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 class ByteBpe:
@@ -47,7 +49,6 @@ class ByteBpe:
                     pairs[a * self.width + b] = rank
         self.pair_key = np.array(sorted(pairs), dtype=np.int64)
         self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], dtype=np.int64)
-        self.pair_of = pairs
         both = (self.byte_id[:, None] * self.width + self.byte_id[None, :]).ravel()
         self.byte_pair_rank = self._rank(both).reshape(256, 256)
         self.memo: dict[str, tuple[str, int, bytes]] = {}
@@ -66,13 +67,16 @@ class ByteBpe:
 
     def merge_alone(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost among equals, one merge at a time."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best, where = min((self.pair_of.get(a * self.width + b, NONE), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
-            if best == NONE:
-                break
-            ids[where : where + 2] = [int(best)]
-        return ids
+        sym = np.array(ids, dtype=np.int64)
+        rank = self._rank(sym[:-1] * self.width + sym[1:])
+        while len(rank) and rank.min() < NONE:
+            i = int(rank.argmin())
+            sym = np.concatenate([sym[:i], rank[i : i + 1], sym[i + 2 :]])
+            rank = np.delete(rank, i)
+            for j in (i - 1, i):
+                if 0 <= j < len(rank):
+                    rank[j] = self._rank(sym[j : j + 1] * self.width + sym[j + 1 : j + 2])[0]
+        return sym.tolist()
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; every merge of the vocabulary is applied to all words at once, in rank order.
@@ -193,11 +197,8 @@ def loaded(path: str, pattern: str) -> ByteBpe:
 def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path, pattern)
     for batch in batches:
-        texts = batch.column(1)
-        keys = batch.column(0)
-        for begin in range(0, len(texts), 2000):
-            cut = [(t or "") for t in texts.slice(begin, 2000).to_pylist()]
-            words = [bpe.pattern.findall(t) for t in cut]
+        for i, j, _, _ in slices(batch.column(1), 4 << 20):
+            words = [bpe.pattern.findall(t or "") for t in batch.column(1).slice(i, j - i).to_pylist()]
             if len(bpe.memo) > MEMO_WORDS:
                 bpe.memo.clear()
             bpe.learn(set().union(*words))
@@ -210,7 +211,7 @@ def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_id
                 text_hash.append(hashlib.sha256(b"".join([k[2] for k in known])).hexdigest())
                 if with_ids:
                     ids.append(np.array(joined.split(), dtype=np.int32))
-            columns = [keys.slice(begin, 2000), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            columns = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
