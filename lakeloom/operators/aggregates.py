@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,9 +52,10 @@ def rate_by_window(df: DataFrame, ts: str, seconds: int, by: Sequence[str] = ())
 
 def rate_in_bounds(df: DataFrame, ts: str, start: str, deadline: str) -> DataFrame:
     """events and per_second in [start, deadline): what drains after the deadline doesn't count."""
-    a, b = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(deadline))
-    seconds = F.lit(0.0) + F.unix_micros(b) / 1e6 - F.unix_micros(a) / 1e6
-    return df.where((F.col(ts) >= a) & (F.col(ts) < b)).agg(F.count("*").alias("events")).withColumn("per_second", F.col("events") / seconds)
+    kind = df.schema[ts].dataType
+    inside = (F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.lit(deadline).cast(kind))
+    seconds = (datetime.fromisoformat(deadline) - datetime.fromisoformat(start)).total_seconds()
+    return df.where(inside).agg(F.count("*").alias("events")).withColumn("per_second", F.col("events") / seconds)
 
 
 def with_idle_windows(rates: DataFrame, seconds: int) -> DataFrame:

@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.lineage import cut
+
 
 def deadlock_cycles(edges: DataFrame, hops: int = 16) -> DataFrame:
     """(txn, cycle_length): every transaction that reaches itself, with its shortest way round, of at most `hops`.
 
     Frontier expansion by joins. A transaction waits for few others at a time; paths are kept as (start, end) pairs,
-    deduplicated in each step, so the work is pairs times edges of a node and not the number of paths.
+    deduplicated in each step, so the work is pairs times edges of a node and not the number of paths. Each step is
+    checkpointed, so plans stay small, and the walk ends with the last new pair.
     """
     edges = edges.select("waiter", "holder").where("waiter is not null and holder is not null").distinct()
+    edges = cut(edges)
     frontier = edges.selectExpr("waiter txn", "holder at", "1 steps")
     seen = frontier
-    found = frontier.where("txn = at")
     for step in range(2, hops + 1):
         nxt = frontier.where("txn <> at").join(edges, F.col("at") == F.col("waiter")).select("txn", F.col("holder").alias("at"), F.lit(step).alias("steps")).distinct()
-        frontier = nxt.join(seen.select("txn", "at"), ["txn", "at"], "left_anti")
+        frontier = cut(nxt.join(seen.select("txn", "at"), ["txn", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.union(frontier)
-        found = found.union(frontier.where("txn = at"))
-    return found.groupBy("txn").agg(F.min("steps").cast("int").alias("cycle_length"))
+    return seen.where("txn = at").groupBy("txn").agg(F.min("steps").cast("int").alias("cycle_length"))
 
 
 def deadlock_sql(table: str, hops: int = 16) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,12 @@ def interior_window(df: DataFrame, by: str, ts: str) -> DataFrame:
     return ends.agg(F.max("a").alias("begin"), F.min("b").alias("end"))
 
 
+def wall_ms(ts: str) -> Column:
+    """Milliseconds since 1970 as the clock shows them, whatever the session's time zone (also for timestamps without one)."""
+    days = F.datediff(ts, F.lit("1970-01-01").cast("date"))
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60000.0 + F.expr(f"extract(seconds from `{ts}`)").cast("double") * 1000
+
+
 def ewma(df: DataFrame, by: Sequence[str], order: Sequence[str], ts_ms: str, value: str, alpha: float, ttl_ms: float) -> DataFrame:
     """(by..., samples, ewma): exponentially weighted mean in the given total order; a first sample, or one more than
     ttl_ms after the last, starts anew. One fold over each key's sorted array, inside the JVM."""
