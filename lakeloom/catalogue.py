@@ -292,9 +292,9 @@ def cost_choice(spark, sf_dir):
 _EDGES = "SELECT DISTINCT l_suppkey AS waiter, l_suppkey * 7 % 11 + l_linenumber % 2 AS holder FROM lineitem WHERE l_suppkey < 40"
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), w(txn, at, steps) AS (SELECT waiter, holder, 1 FROM e
-UNION SELECT w.txn, e.holder, w.steps + 1 FROM w JOIN e ON w.at = e.waiter WHERE w.steps < 16 AND w.txn <> w.at)
-SELECT txn, CAST(min(steps) AS INT) AS cycle_length FROM w WHERE txn = at GROUP BY txn""")
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), w(txn, here, steps) AS (SELECT waiter, holder, 1 FROM e
+UNION SELECT w.txn, e.holder, w.steps + 1 FROM w JOIN e ON w.here = e.waiter WHERE w.steps < 16 AND w.txn <> w.here)
+SELECT txn, CAST(min(steps) AS INT) AS cycle_length FROM w WHERE txn = here GROUP BY txn""")
 def deadlock_cycles(spark, sf_dir):
     edges = load(spark, sf_dir, "lineitem").where("l_suppkey < 40").selectExpr("l_suppkey waiter", "l_suppkey * 7 % 11 + l_linenumber % 2 holder")
     return waits.deadlock_cycles(edges)
