@@ -1,32 +1,7 @@
-"""Cutting lineage so that a lost executor costs one stage and not the whole job."""
+"""Durable intermediate results of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from lakeloom.lineage import cut, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lakeloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed now and kept in the shared folder; Spark's cleaner may remove them once unused."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a columnar table in the shared folder: for wide rows, of which later steps read some columns."""
-    path = f"{shared_dir(df.sparkSession)}/lakeloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir", "written"]
