@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 
 from lakeloom.llm._text import slices
 
-NONE = np.int64(1 << 40)
+NONE = np.int32((1 << 31) - 1)
 #: Pre-tokens kept in a worker's memory with their ids; beyond it the table starts anew (speed only, results are the same).
-MEMO_WORDS = 150_000
+MEMO_WORDS = 120_000
 
 
 class ByteBpe:
@@ -37,6 +37,7 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.text_of = {i: str(i) for i in self.bytes_of}
         self.width = max(ranks.values(), default=0) + 1
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.byte_id < 0).any():
@@ -48,9 +49,8 @@ class ByteBpe:
                 if a is not None and b is not None:
                     pairs[a * self.width + b] = rank
         self.pair_key = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], dtype=np.int64)
-        both = (self.byte_id[:, None] * self.width + self.byte_id[None, :]).ravel()
-        self.byte_pair_rank = self._rank(both).reshape(256, 256)
+        self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], dtype=np.int32)
+        self.byte_pair_rank = self._rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.memo: dict[str, tuple[str, int, bytes]] = {}
 
     @classmethod
@@ -59,7 +59,8 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return cls(ranks, pattern)
 
-    def _rank(self, keys: np.ndarray) -> np.ndarray:
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = np.asarray(left, dtype=np.int64) * self.width + right
         if not len(self.pair_key):
             return np.full(len(keys), NONE)
         at = np.minimum(np.searchsorted(self.pair_key, keys), len(self.pair_key) - 1)
@@ -68,14 +69,14 @@ class ByteBpe:
     def merge_alone(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost among equals, one merge at a time."""
         sym = np.array(ids, dtype=np.int64)
-        rank = self._rank(sym[:-1] * self.width + sym[1:])
+        rank = self._rank(sym[:-1], sym[1:])
         while len(rank) and rank.min() < NONE:
             i = int(rank.argmin())
             sym = np.concatenate([sym[:i], rank[i : i + 1], sym[i + 2 :]])
             rank = np.delete(rank, i)
             for j in (i - 1, i):
                 if 0 <= j < len(rank):
-                    rank[j] = self._rank(sym[j : j + 1] * self.width + sym[j + 1 : j + 2])[0]
+                    rank[j] = self._rank(sym[j : j + 1], sym[j + 1 : j + 2])[0]
         return sym.tolist()
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -92,17 +93,18 @@ class ByteBpe:
         n = len(data)
         if n == 0:
             return [[] for _ in words]
+        # a few numbers for each byte of the words: 32 bits hold them, which bounds what a batch takes
         first = np.concatenate([[0], np.cumsum(sizes)])
-        word_of = np.repeat(np.arange(len(words)), sizes)
-        sym = self.byte_id[data]
-        nxt = np.arange(1, n + 1)
-        prv = np.arange(-1, n - 1)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        sym = self.byte_id[data].astype(np.int32)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         filled = sizes > 0
         nxt[first[1:][filled] - 1] = -1
         prv[first[:-1][filled]] = -1
         alive = np.ones(n, dtype=bool)
         rank = np.full(n, NONE)
-        left = np.flatnonzero(nxt >= 0)
+        left = np.flatnonzero(nxt >= 0).astype(np.int32)
         rank[left] = self.byte_pair_rank[data[left], data[left + 1]]
         alone: set[int] = set()
         index: dict[int, list[np.ndarray]] = {}
@@ -147,11 +149,11 @@ class ByteBpe:
             prv[after[tail]] = at[tail]
             rank[at] = NONE
             # pairs as they are when only the merges to the left are done: a lower rank here would come first
-            amid = at[tail][self._rank(r * self.width + right[tail]) < r]
+            amid = at[tail][self._rank(np.full(int(tail.sum()), r), right[tail]) < r]
             before = prv[at]
             touched = np.unique(np.concatenate([at[tail], before[before >= 0]]))
             if len(touched):
-                rank[touched] = self._rank(sym[touched] * self.width + sym[nxt[touched]])
+                rank[touched] = self._rank(sym[touched], sym[nxt[touched]])
                 lower = np.concatenate([touched[rank[touched] < r], amid])
                 if len(lower):
                     for w in np.unique(word_of[lower]).tolist():
@@ -162,8 +164,8 @@ class ByteBpe:
                 post(touched)
         kept = np.flatnonzero(alive)
         counts = np.bincount(word_of[kept], minlength=len(words))
-        out = np.split(sym[kept], np.cumsum(counts)[:-1])
-        result = [x.tolist() for x in out]
+        flat, ends = sym[kept].tolist(), np.cumsum(counts).tolist()
+        result = [flat[a:b] for a, b in zip([0, *ends], ends)]
         for w in alone:
             result[w] = self.merge_alone(self.byte_id[data[first[w] : first[w + 1]]].tolist())
         return result
@@ -172,11 +174,11 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.memo]
+        new, text = [w for w in words if w not in self.memo], self.text_of.__getitem__
         for k in range(0, len(new), 200_000):
             part = new[k : k + 200_000]
             for w, ids in zip(part, self.replay([w.encode() for w in part])):
-                self.memo[w] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+                self.memo[w] = (" ".join(map(text, ids)), len(ids), self.decode(ids))
 
     def encode(self, text: str) -> list[int]:
         words = self.pattern.findall(text)
@@ -197,7 +199,7 @@ def loaded(path: str, pattern: str) -> ByteBpe:
 def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path, pattern)
     for batch in batches:
-        for i, j, _, _ in slices(batch.column(1), 4 << 20):
+        for i, j, _, _ in slices(batch.column(1), 2 << 20):
             words = [bpe.pattern.findall(t or "") for t in batch.column(1).slice(i, j - i).to_pylist()]
             if len(bpe.memo) > MEMO_WORDS:
                 bpe.memo.clear()
