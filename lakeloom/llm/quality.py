@@ -175,6 +175,8 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate:
         _grow(bins, edges, y - 1 / (1 + np.exp(-z)), np.arange(n), depth, max(5, n // 2000), (), rules, step)
         z += rate * 4 * step
     rules = list(dict.fromkeys(tuple(sorted(r)) for r in rules))
+    if not rules:  # no statistic tells the labels apart
+        return Ensemble(start)
     a = np.stack([holds(r, x) for r in rules], axis=1).astype(np.float64)
     mean, scale = a.mean(0), a.std(0) + 1e-9
     a = (a - mean) / scale
