@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,5 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a columnar table in the shared folder: for wide rows, of which later steps read some columns."""
     path = f"{shared_dir(df.sparkSession)}/lakeloom-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that `written` has made for this driver, once their results are read or stored; their number."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
