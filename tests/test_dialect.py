@@ -120,3 +120,12 @@ def test_commits_are_seen_by_new_engines_and_closing_rolls_back(spark, tmp_path)
     assert [s.execute(x) for x in ("begin", "begin", "insert into t values (3, 4)", "select * from nope")] == ["Begin", "fail", "affect raw : 1", "fail"]
     s.close()
     assert rows(Engine(spark, str(tmp_path / "s")), "select * from t") == [(1, 2)]
+
+
+def test_scripts(engine):
+    from lakeloom.shell import run as replies
+
+    script = ["create table t (a int,", " b char(4));insert into t values (1, 'x;y');", "begin; update t set b = 'z'; exit; show tables"]
+    assert list(replies(engine.session(), script)) == ["success", "affect raw : 1", "Begin", "affect raw : 1", "Bye."]
+    assert rows(engine, "select b from t") == [("x;y",)]
+    assert list(replies(engine.session(), ["select b from t"]))[0].count("x;y") == 1
