@@ -7,6 +7,7 @@ ASCII white space (0x20, 0x09-0x0D) after A-Z have been lowered.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+_LIBC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: idle workers else hold what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC_TRIM is not None:
+        _LIBC_TRIM(0)
+
+
 def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts of about `limit` bytes; a longer text is a run of its own."""
     data, offs = buffers(column)
@@ -76,6 +87,7 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         j = min(max(j, i + 1), n)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

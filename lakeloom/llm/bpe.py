@@ -24,11 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lakeloom.llm._text import slices
+from lakeloom.llm._text import give_back, slices
 
 NONE = np.int32((1 << 31) - 1)
-#: Pre-tokens kept in a worker's memory with their ids; beyond it the table starts anew (speed only, results are the same).
-MEMO_WORDS = 120_000
+#: Pre-tokens of one generation in a worker's memory; beyond it a new one begins, which takes over what it meets again
+#: from the last one (speed only, results are the same).
+MEMO_WORDS = 180_000
 
 
 class ByteBpe:
@@ -52,6 +53,8 @@ class ByteBpe:
         self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], dtype=np.int32)
         self.byte_pair_rank = self._rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.last: dict[str, tuple[str, int, bytes]] = {}
+        self.limit = MEMO_WORDS
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -116,8 +119,10 @@ class ByteBpe:
                 return
             order = at[np.argsort(rank[at], kind="stable")]
             r = rank[order]
-            cut = np.flatnonzero(np.diff(r)) + 1
-            for key, part in zip(r[np.concatenate([[0], cut])].tolist(), np.split(order, cut)):
+            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
+            cuts = [0, *cut.tolist(), len(order)]
+            for key, a, b in zip(r[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                part = order[a:b]
                 if key in index:
                     index[key].append(part)
                 else:
@@ -174,7 +179,16 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, words: Iterable[str]) -> None:
-        new, text = [w for w in words if w not in self.memo], self.text_of.__getitem__
+        if len(self.memo) > self.limit:
+            self.memo, self.last = {}, self.memo
+        memo, last, new, text = self.memo, self.last, [], self.text_of.__getitem__
+        for w in words:
+            if w not in memo:
+                known = last.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    memo[w] = known
         for k in range(0, len(new), 200_000):
             part = new[k : k + 200_000]
             for w, ids in zip(part, self.replay([w.encode() for w in part])):
@@ -196,21 +210,20 @@ def loaded(path: str, pattern: str) -> ByteBpe:
     return _LOADED[path, pattern]
 
 
-def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_ids: bool, limit: int = MEMO_WORDS, forget: bool = False) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path, pattern)
+    bpe.limit = limit
     for batch in batches:
         for i, j, _, _ in slices(batch.column(1), 2 << 20):
             words = [bpe.pattern.findall(t or "") for t in batch.column(1).slice(i, j - i).to_pylist()]
-            if len(bpe.memo) > MEMO_WORDS:
-                bpe.memo.clear()
             bpe.learn(set().union(*words))
             n, ids_hash, text_hash, ids = [], [], [], []
             for found in words:
-                known = [bpe.memo[w] for w in found]
-                n.append(sum(k[1] for k in known))
-                joined = " ".join([k[0] for k in known])
+                texts, sizes, data = zip(*map(bpe.memo.__getitem__, found)) if found else ((), (), ())
+                n.append(sum(sizes))
+                joined = " ".join(texts)
                 ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join([k[2] for k in known])).hexdigest())
+                text_hash.append(hashlib.sha256(b"".join(data)).hexdigest())
                 if with_ids:
                     ids.append(np.array(joined.split(), dtype=np.int32))
             columns = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
@@ -219,16 +232,20 @@ def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_id
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+    if forget:
+        bpe.memo, bpe.last = {}, {}
+        give_back()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = True, memo_words: int = MEMO_WORDS, forget: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256[, ids]) of each row; the decoded digest comes from decoding the ids.
 
+    memo_words and forget trade a worker's memory (pre-tokens kept, and whether past the end of a task) for time.
     Rows are independent: there is no shuffle, and a lost task is simply run again.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    out = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(lambda it: _batches(it, path, pattern, with_ids), schema)
+    out = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(lambda it: _batches(it, path, pattern, with_ids, memo_words, forget), schema)
     return out.withColumnRenamed("key", key)
 
 
