@@ -2,7 +2,7 @@
 
 Words are compared without case (A-Z) and punctuation, in shingles of five words (an item of fewer words is one
 shingle). For an item of n words every n-word window of a document that shares a shingle with it is a candidate -
-a window without one has similarity 0. Candidates get a SimHash of their weighted shingles; fingerprints are cut
+a window without one has similarity 0. A document of fewer words than the item is one window as a whole. Candidates get a SimHash of their weighted shingles; fingerprints are cut
 into RADIUS + 1 blocks, and a look-up by each block's value finds all items within RADIUS differing bits, since
 at least one block must agree. Their whole distance is verified, then the exact weighted-shingle similarity
 (sum of minima over sum of maxima of shingle counts). At similarity 0.8 the fingerprints differ by some ten bits
@@ -106,10 +106,10 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pairs[0], pairs[1]
 
-    def search(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
-        """(text, item) -> (best similarity, first word of the best window, the earliest among equals)."""
+    def search(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """(text, item) -> (best similarity, first word of the best window, the earliest among equals, and its words)."""
         words, first = _word_hashes(data, offs)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for k, (keys, bloom, sizes) in self.shingles.items():
             shingles = shingle_hashes(words, k)
             hit = np.flatnonzero(bloom[(shingles >> U64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -118,23 +118,24 @@ class ItemIndex:
             hit, at = hit[same], at[same]
             doc = np.searchsorted(first, hit, side="right") - 1
             inside = hit + k <= first[doc + 1]
-            ranges: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+            ranges: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
             for p, s, d in zip(hit[inside].tolist(), at[inside].tolist(), doc[inside].tolist()):
                 for n in sizes[s]:
-                    a, b = max(p + k - n, int(first[d])), min(p, int(first[d + 1]) - n)
+                    size = min(n, int(first[d + 1] - first[d]))
+                    a, b = max(p + k - size, int(first[d])), min(p, int(first[d + 1]) - size)
                     if a <= b:
-                        row = ranges[n]
+                        row = ranges[n, size]
                         if row and row[-1][2] == d and a <= row[-1][1] + 1:
                             row[-1] = (row[-1][0], max(b, row[-1][1]), d)
                         else:
                             row.append((a, b, d))
-            for n, spans in ranges.items():
+            for (n, size), spans in ranges.items():
                 for a, b, d in spans:
-                    self._windows(shingles, n, k, a, b, d, int(first[d]), best)
+                    self._windows(shingles, n, size, k, a, b, d, int(first[d]), best)
         return best
 
-    def _windows(self, shingles: np.ndarray, n: int, k: int, a: int, b: int, doc: int, base: int, best: dict) -> None:
-        span = n - k + 1
+    def _windows(self, shingles: np.ndarray, n: int, size: int, k: int, a: int, b: int, doc: int, base: int, best: dict) -> None:
+        span = size - k + 1
         for lo in range(a, b + 1, 4096):
             hi = min(lo + 4095, b)
             part = shingles[lo : hi + span]
@@ -144,16 +145,16 @@ class ItemIndex:
                 s = similarity(Counter(part[at : at + span].tolist()), self.counts[item])
                 key = (doc, item)
                 if s >= SIMILARITY and (key not in best or (s, -(lo + at - base)) > (best[key][0], -best[key][1])):
-                    best[key] = (s, lo + at - base)
+                    best[key] = (s, lo + at - base, size)
 
 
 def _search_batches(batches: Iterable[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, found = [], []
         for i, _, data, offs in slices(batch.column(1)):
-            for (d, item), (s, at) in sorted(index.search(data, offs).items()):
+            for (d, item), (s, at, size) in sorted(index.search(data, offs).items()):
                 rows.append(i + d)
-                found.append((index.ids[item], s, at, index.sizes[item]))
+                found.append((index.ids[item], s, at, size))
         if rows:
             cols = list(zip(*found))
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())

@@ -59,3 +59,26 @@ def test_finds_exactly_what_brute_force_finds(spark):
     left = {r.doc_id for r in decontam.clean(df, its).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want}
     assert decontam.find(df, its.where("item_id > 99")).count() == 0
+
+
+def test_documents_shorter_than_the_item_are_one_window(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate([59, 40, 25, 12, 5, 4])]
+    docs = [(j, " ".join(item.split()[cut // 2 : len(item.split()) - (cut + 1) // 2])) for j, (item, cut) in enumerate((t, c) for _, t in items for c in range(14) if c < len(t.split()))]
+    want = brute(docs, items)
+    for d, text in docs:
+        w = words_of(text)
+        for i, item in items:
+            v = words_of(item)
+            k = min(5, len(v))
+            if k <= len(w) < len(v):
+                a, b = (Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1)) for x in (w, v))
+                s = decontam.similarity(a, b)
+                if s >= 0.8:
+                    want[d, i] = (s, 0)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    its = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontam.find(df, its).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in found} == want and len(want) > len(items)
+    assert all(r.n_words == min(len(words_of(docs[r.doc_id][1])), len(words_of(items[r.item_id][1]))) for r in found)
+    assert {r.doc_id for r in decontam.clean(df, its).collect()} == {d for d, _ in docs} - {d for d, _ in want}
