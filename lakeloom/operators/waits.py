@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.lineage import cut
 
 
-def deadlock_cycles(edges: DataFrame, hops: int = 16) -> DataFrame:
-    """(txn, cycle_length): every transaction that reaches itself, with its shortest way round, of at most `hops`.
+def deadlock_cycles(edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """(txn, cycle_length): every transaction that reaches itself, with its shortest way round (of at most `hops`, if given).
 
     Frontier expansion by joins. A transaction waits for few others at a time; paths are kept as (start, end) pairs,
     deduplicated in each step, so the work is pairs times edges of a node and not the number of paths. Each step is
@@ -19,7 +21,7 @@ def deadlock_cycles(edges: DataFrame, hops: int = 16) -> DataFrame:
     edges = cut(edges)
     frontier = edges.selectExpr("waiter txn", "holder at", "1 steps")
     seen = frontier
-    for step in range(2, hops + 1):
+    for step in count(2) if hops is None else range(2, hops + 1):
         nxt = frontier.where("txn <> at").join(edges, F.col("at") == F.col("waiter")).select("txn", F.col("holder").alias("at"), F.lit(step).alias("steps")).distinct()
         frontier = cut(nxt.join(seen.select("txn", "at"), ["txn", "at"], "left_anti"))
         if frontier.isEmpty():

@@ -146,3 +146,11 @@ def test_lock_waits(spark):
     edges.where("waiter is not null").createOrReplaceTempView("wait_edges")
     assert {r.txn: r.cycle_length for r in spark.sql(waits.deadlock_sql("wait_edges")).collect()} == want
     assert waits.deadlock_cycles(edges.where("waiter > 99")).count() == 0
+
+
+def test_cycles_of_any_length_are_found(spark):
+    rows = [(i, (i + 1) % 40) for i in range(40)] + [(100, 101), (101, 0), (200, 201), (201, 200)]
+    edges = spark.createDataFrame(rows, "waiter int, holder int")
+    want = {i: 40 for i in range(40)} | {200: 2, 201: 2}
+    assert {r.txn: r.cycle_length for r in waits.deadlock_cycles(edges).collect()} == want
+    assert {r.txn for r in waits.deadlock_cycles(edges, 16).collect()} == {200, 201}
