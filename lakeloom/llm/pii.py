@@ -47,6 +47,10 @@ CONFIDENCE = 0.8
 SUPPORT = 3
 ROUNDS = 3
 CONTEXT_CHARS = 64
+#: Trusted patterns up to which rows are decided where they lie; beyond that, by joins.
+LITERALS = 5_000
+#: Characters of the pieces that texts are cut into before spans are replaced.
+CUT = 8192
 _SPAN = "struct<kind:int,start:bigint,stop:bigint,value:string,context:string>"
 
 
@@ -54,13 +58,21 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern + "'" if "'" not in pattern else '"' + pattern.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
+def _running(values: str, step: str, backwards: bool = False) -> str:
+    """SQL of an array's running values: `step` combines v and w. Rounds of doubling reach, so n log n whatever the array."""
+    beside = "i + shiftleft(1, k)" if backwards else "i - shiftleft(1, k)"
+    inside = "i + shiftleft(1, k) < size(acc)" if backwards else "i >= shiftleft(1, k)"
+    one = step.format(v="v", w=f"get(acc, {beside})")
+    return f"""aggregate(array({values}), cast(null as array<bigint>), (none, all_) -> if(size(all_) < 2, all_,
+        aggregate(sequence(0, int(ceil(log2(size(all_)))) - 1), all_, (acc, k) -> transform(acc, (v, i) -> if({inside}, {one}, v)))))"""
+
+
 def _placed(gaps: str, hits: str, kind: str) -> str:
     """SQL of an array of spans, from the pieces between matches and the matches, both in text order."""
     context = f"regexp_replace(lower(regexp_extract(right(x.g, {CONTEXT_CHARS}), r'(\\S+)\\s*$', 1)), '[0-9]', '9')"
-    return f"""aggregate(zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> named_struct('g', g, 'h', h)),
-        named_struct('p', 0L, 'a', cast(array() as array<{_SPAN}>)),
-        (s, x) -> named_struct('p', s.p + length(x.g) + length(x.h), 'a', array_append(s.a, named_struct('kind', {kind}, 'start', s.p + length(x.g),
-            'stop', s.p + length(x.g) + length(x.h), 'value', x.h, 'context', {context}))), s -> s.a)"""
+    pieces = f"zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> named_struct('g', g, 'h', h, 'n', bigint(length(h))))"
+    ends = _running(f"zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> bigint(length(g) + length(h)))", "{v} + {w}")
+    return f"""if(size({hits}) = 0, cast(array() as array<{_SPAN}>), zip_with({pieces}, {ends}, (x, e) -> named_struct('kind', {kind}, 'start', e - x.n, 'stop', e, 'value', x.h, 'context', {context})))"""
 
 
 _DIGITS = "regexp_replace({v}, '[^0-9]', '')"
@@ -88,11 +100,22 @@ def _kind_like(value: str) -> str:
         when {value} rlike {_quoted('^' + _PHONE_LIKE + '$')} and length({d}) between 7 and 15 then 3 else -1 end"""
 
 
+def _apart(spans: str, base: str) -> str:
+    """SQL of the spans that overlap none of base: in order of starts, no base span before one ends in it, and none after starts in it."""
+    item = "named_struct('start', y.start, 'stop', y.stop, 'fixed', {fixed}, 's', y)"
+    both = f"array_sort(concat(transform({spans}, y -> {item.format(fixed='false')}), transform({base}, y -> {item.format(fixed='true')})))"
+    reach = _running("transform(z, y -> if(y.fixed, y.stop, -1L))", "greatest({v}, {w})")
+    next_ = _running("transform(z, y -> if(y.fixed, y.start, 9223372036854775807L))", "least({v}, {w})", backwards=True)
+    around = f"zip_with(zip_with(z, {reach}, (y, r) -> named_struct('y', y, 'r', r)), {next_}, (x, n) -> named_struct('y', x.y, 'r', x.r, 'n', n))"
+    kept = f"transform(filter({around}, x -> not x.y.fixed and x.r <= x.y.start and x.n >= x.y.stop), x -> x.y.s)"
+    return f"aggregate(array({both}), cast(array() as array<{_SPAN}>), (none, z) -> {kept})"
+
+
 def extract(docs: DataFrame, *, key: str | None = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, others): with key None the whole row, as a struct; arrays of spans (kind, start, stop, value, context) of each row.
 
     base: valid base spans by kind, then start. others: identifier-like strings that overlap no base span, kind -1
-    where they have no kind's form. Within a text the arrays are built in one pass over its matches.
+    where they have no kind's form. Work grows with n log n in the matches of a text.
     """
     rows = docs.select((docs[key] if key else F.struct("*")).alias("key"), F.coalesce(docs[text], F.lit("")).alias("t"))
     pieces = ["key", "t"]
@@ -105,7 +128,7 @@ def extract(docs: DataFrame, *, key: str | None = "doc_id", text: str = "text")
     parts = [f"filter({_placed(f'g_{k}', f'h_{k}', str(i))}, y -> {_valid(k, 'y.value')})" for i, k in enumerate(KINDS)]
     like = _placed("g_like", "h_like", _kind_like("x.h"))
     placed = rows.selectExpr(*pieces).selectExpr("key", f"concat({', '.join(parts)}) base", f"{like} likes")
-    return placed.selectExpr("key", "base", "filter(likes, y -> not exists(base, b -> b.start < y.stop and y.start < b.stop)) others")
+    return placed.selectExpr("key", "base", f"if(size(base) = 0 or size(likes) = 0, likes, {_apart('likes', 'base')}) others")
 
 
 def patterns(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -128,12 +151,21 @@ def patterns(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT,
     return trust.where(F.col("confidence") >= confidence)
 
 
-def detect(docs: DataFrame, *, key: str | None = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, added): base spans and discovered spans of each row, each an array by kind, then start."""
+def detect(docs: DataFrame, *, key: str | None = "doc_id", text: str = "text", literals: int = LITERALS) -> DataFrame:
+    """(key, base, added): base spans and discovered spans of each row, each an array by kind, then start.
+
+    Up to `literals` trusted patterns are part of the plan, so that rows are decided where they lie; beyond that, spans are
+    joined to the patterns and back to their rows.
+    """
     found = written(extract(docs, key=key, text=text).withColumn("row", F.monotonically_increasing_id()))
-    trust = patterns(found)
+    trust = patterns(found).select("kind", "context")
+    few = trust.limit(literals + 1).collect()
+    if len(few) <= literals:
+        known = [f"{r.kind} {r.context}" for r in few]
+        hits = F.filter("others", lambda s: F.concat(s["kind"].cast("string"), F.lit(" "), s["context"]).isin(known)) if known else F.expr(f"cast(array() as array<{_SPAN}>)")
+        return found.select("key", "base", F.array_sort(hits).alias("added"))
     likes = found.selectExpr("row", "explode(others) s").where("s.kind >= 0").selectExpr("row", "s.kind kind", "s.context context", "s")
-    added = likes.join(trust.select("kind", "context"), ["kind", "context"]).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))
+    added = likes.join(trust, ["kind", "context"]).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     return found.join(added, "row", "left").select("key", "base", F.coalesce("added", none).alias("added"))
 
@@ -150,12 +182,24 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     return found.selectExpr(f"key `{key}`", *counts, f"sha2({_joined('base')}, 256) base_sha256", f"{_joined('spans_')} spans", "cast(size(spans_) - size(base) as bigint) n_added")
 
 
-def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with every span's characters replaced by its kind in angle brackets; other columns and clean texts as they were."""
+def _between(a: str, b: str) -> str:
+    """SQL of the characters from a to b of a text that is cut into pieces w.c of CUT characters: no search from its beginning."""
+    first, last = f"int({a} div {CUT})", f"int({b} div {CUT})"
+    return f"""if({first} = {last}, substring(get(w.c, {first}), int({a} % {CUT}) + 1, int({b} - {a})), concat(substring(get(w.c, {first}), int({a} % {CUT}) + 1),
+        array_join(slice(w.c, {first} + 2, {last} - {first} - 1), ''), substring(get(w.c, {last}), 1, int({b} % {CUT}))))"""
+
+
+def redact(docs: DataFrame, *, text: str = "text", literals: int = LITERALS) -> DataFrame:
+    """docs with every span's characters replaced by its kind in angle brackets (of spans that overlap, the first keeps what they
+    share); other columns and clean texts as they were."""
     names = ", ".join(f"'<{k}>'" for k in KINDS)
-    found = detect(docs, key=None, text=text).withColumn("t", F.col(f"key.`{text}`"))
+    found = detect(docs, key=None, text=text, literals=literals).withColumn("t", F.col(f"key.`{text}`"))
     found = found.selectExpr("key", "t", "array_sort(transform(concat(base, added), s -> named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind))) spans")
-    cutting = f"""if(size(spans) = 0, t, aggregate(spans, named_struct('p', 0L, 'a', cast(array() as array<string>)),
-        (s, x) -> if(x.stop <= s.p, s, named_struct('p', x.stop, 'a', concat(s.a, array(substring(t, int(s.p + 1), int(greatest(x.start - s.p, 0L))), element_at(array({names}), x.kind + 1))))),
-        s -> concat(array_join(s.a, ''), substring(t, int(s.p + 1), length(t)))))"""
+    reach = _running("transform(spans, x -> x.stop)", "greatest({v}, {w})")
+    shifted = f"aggregate(array({reach}), cast(null as array<bigint>), (none, r) -> transform(r, (v, i) -> if(i = 0, 0L, get(r, i - 1))))"
+    pieces = f"transform(sequence(0, int(length(t) div {CUT})), i -> substring(t, i * {CUT} + 1, {CUT}))"
+    state = f"named_struct('c', {pieces}, 'z', zip_with(spans, {shifted}, (x, p) -> named_struct('x', x, 'p', p)), 'n', bigint(length(t)), 'end', array_max(transform(spans, x -> x.stop)))"
+    replaced = f"concat({_between('y.p', 'greatest(y.x.start, y.p)')}, element_at(array({names}), y.x.kind + 1))"
+    cutting = f"""if(size(spans) = 0, t, get(transform(array({state}), w -> concat(array_join(transform(filter(w.z, y -> y.x.stop > y.p), y -> {replaced}), ''),
+        {_between('w.end', 'w.n')})), 0))"""
     return found.select(*[F.expr(cutting).alias(c) if c == text else F.col(f"key.`{c}`") for c in docs.columns])

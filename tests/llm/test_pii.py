@@ -76,3 +76,107 @@ def test_context_patterns_discover_unseen_identifiers(spark):
 
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def kind_like(v):
+    d = re.sub("[^0-9]", "", v)
+    if re.fullmatch(pii._MAIL_LIKE, v, re.A):
+        return 0
+    if re.fullmatch(pii._IP_LIKE, v, re.A):
+        return 1
+    if re.match(f"^{pii._CARD_LIKE}$", v, re.A) and 12 <= len(d) <= 19:
+        return 2
+    return 3 if re.match(f"^{pii._PHONE_LIKE}$", v, re.A) and 7 <= len(d) <= 15 else -1
+
+
+def spans_of(text):
+    """(base, others): (kind, start, stop, value, context) as the operator defines them."""
+
+    def placed(pattern, kind):
+        out, last = [], 0
+        for m in re.finditer(pattern, text, re.A):
+            found = re.search(r"(\S+)\s*\Z", text[last : m.start()][-pii.CONTEXT_CHARS :], re.A)
+            out.append((kind(m[0]), m.start(), m.end(), m[0], re.sub("[0-9]", "9", found[1].lower()) if found else ""))
+            last = m.end()
+        return out
+
+    base = [s for i, (k, p) in enumerate(PATTERNS.items()) for s in placed(p, lambda v, i=i: i) if valid(k, s[3])]
+    return base, [s for s in placed(pii.LIKE, kind_like) if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+
+
+def bootstrapped(texts):
+    found = [spans_of(t) for t in texts]
+    known = {}
+    for flag, which in ((1.0, 0), (0.0, 1)):
+        for spans in found:
+            for kind, _, _, value, context in spans[which]:
+                if context:
+                    known[kind, context, value] = max(flag, known.get((kind, context, value), 0.0))
+    score = dict(known)
+    for step in range(pii.ROUNDS):
+        trust = {}
+        for kind, context in {e[:2] for e in known if e[0] >= 0}:
+            mine = [score[e] for e in known if e[:2] == (kind, context)]
+            if sum(s >= pii.CONFIDENCE for s in mine) >= pii.SUPPORT:
+                trust[kind, context] = min(sum(mine) / sum(e[1] == context for e in known), 0.999999)
+        for kind, _, value in known:
+            miss = 1.0
+            for e in known:
+                if e[0] == kind and e[2] == value:
+                    miss *= 1 - trust.get(e[:2], 0.0)
+            for e in known:
+                if e[0] == kind and e[2] == value:
+                    score[e] = max(known[e], 1 - miss)
+    good = {p for p, c in trust.items() if c >= pii.CONFIDENCE}
+    return [(b, sorted(s for s in o if (s[0], s[4]) in good)) for b, o in found]
+
+
+def planted():
+    import random
+
+    rng = random.Random(4)
+    cards = [c for c in (f"45{rng.randrange(10**14):014d}" for _ in range(400)) if luhn(c)]
+    bad = [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards[:4]]
+    texts = ["pay by card " + c for c in cards] + [f"card {c} or nr {c}" for c in bad] + ["phone +1 (017) 555-77%02d" % i for i in range(20)] + ["phone 017 5557713", "card 017 5557713"]
+    texts += [f"nr {c}" for c in cards[:12]] + ["nr 4539 1488 0343 6468"]
+    lead = ["phone", "at", "mail", "the", ""]
+    tail = cards[:5] + bad + ["+1 (017) 555-7713", "(017) 555-7713", "a@b", "x.y@mail.example.com", "10.2.3.4", "10.2.3.999", "17", "b52", "::1:2:3:4"]
+    return texts + [" ".join(f"{rng.choice(lead)} {rng.choice(tail)}" if rng.random() < 0.5 else "word" for _ in range(rng.randint(0, 5))) for _ in range(30)] + ["", "card"]
+
+
+def test_bootstrap_equals_brute_force_with_patterns_as_literals_or_joined(spark):
+    texts = planted()
+    want = bootstrapped(texts)
+    assert sum(len(added) for _, added in want) > 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for literals in (pii.LITERALS, 0):
+        for r in pii.detect(df, literals=literals).collect():
+            got = [sorted((s.kind, s.start, s.stop, s.value, s.context) for s in spans) for spans in (r.base, r.added)]
+            assert got == [sorted(want[r.key][0]), want[r.key][1]], texts[r.key]
+    for r in pii.redact(df).collect():
+        base, added = want[r.doc_id]
+        out, at = "", 0
+        for _, start, stop, kind in sorted((0, a, b, k) for k, a, b, _, _ in base + added):
+            if stop > at:
+                out += texts[r.doc_id][at : max(start, at)] + f"<{pii.KINDS[kind]}>"
+                at = stop
+        assert r.text == out + texts[r.doc_id][at:]
+
+
+def test_null_and_repeated_ids_and_many_spans_over_piece_ends(spark):
+    long = "é word 4539148803436467 and x@y.example.com, " * 1500
+    df = spark.createDataFrame([(None, "a@b.cd"), (None, "a@b.cd"), (1, "10.0.0.1"), (1, long)], "doc_id bigint, text string")
+    got = pii.report(df).collect()
+    assert sorted((r.n_email, r.n_ip, r.n_card) for r in got) == [(0, 1, 0), (1, 0, 0), (1, 0, 0), (1500, 0, 1500)]
+    texts = sorted(r.text for r in pii.redact(df).collect())
+    assert texts == sorted(["<email>", "<email>", "<ip>", "é word <card> and <email>, " * 1500])
+
+
+def test_a_text_of_many_digit_words_takes_seconds(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "9x " * 40_000 + "a@b.cd " * 2_000)], "doc_id bigint, text string")
+    pii.report(df.where("doc_id = 2")).count()
+    began = time.perf_counter()
+    (r,) = pii.report(df).collect()
+    assert r.n_email == 2000 and time.perf_counter() - began < 30
