@@ -1,14 +1,17 @@
-"""Main text of web pages: the marked article, or what the page doesn't share with its nearest page by URL.
-
-A page is cut into lines, one for each block element. Furniture by its markup (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) never counts as text. If the page marks its article
-(article, else main), its lines are the text, all of them: lines that articles have in common, such as quotes and copies,
-are content. Otherwise pages are paired by URL: within a host, sorted by path, a page's partner is the neighbour with the
-longer common path. The lines of both pages are aligned by a longest common subsequence and the shared ones are
-deleted - unless they are nearly all of the page, which then is a copy of its partner and not a template around other content.
-
-Pages are parsed once. What is shuffled is line hashes, and the lines of pages without a marked article.
-Defined results: null html is empty, and gives an empty text; repeated page ids pair alike; pages without lines are no partners, and pages with null id or
+"""Main text of web pages: what a page doesn't share with its nearest page by URL, with the page's own marks as a guard.
+
+A page is cut into lines, one for each block element. Pages are paired by URL: within a host, sorted by path, a page's
+partner is the neighbour with the longer common path. The lines of both pages, furniture included, are aligned by a longest
+common subsequence and the shared ones are deleted. Two guards hold back what pages have in common but is content: lines of a marked
+article (article, else main) stay, since articles share quotes and copies; and a page that shares nearly all of its
+text is a copy of its partner and not a template around other content. Of the lines that are left, those that the markup
+shows to be furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) and,
+if the page marks its article, those outside it, go too. n_shared says how many lines differencing has deleted.
+
+Pages are parsed twice: for the hashes of their lines, which are all that pairing needs, and for their text, which is shuffled
+once, to the partner's hashes.
+Defined results: null html is empty, and gives an empty text; repeated page ids pair alike (a repeated id is one page of several
+forms: its partners compare with the least of them); pages without lines are no partners, and pages with null id or
 url have no partner and keep all lines.
 """
 
@@ -16,14 +19,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from lakeloom.llm._durable import written
 
@@ -58,24 +63,31 @@ def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str | None) -> tuple[list[str], list[str], list[str]]:
-    """(lines of the article element, lines of the main element, all lines) that aren't furniture, in page order."""
+def lines_of(page: str | None) -> tuple[list[str], list[str], list[tuple[str, bool]]]:
+    """(lines of the article element, lines of the main element, all lines with a flag for furniture), in page order.
+
+    Lines of the first two aren't furniture.
+    """
     article: list[str] = []
     main: list[str] = []
-    every: list[str] = []
+    every: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, in article, in main
     text: list[str] = []
+    around: list[str] = []  # text of furniture
     furniture = in_article = in_main = False
 
     def end_line() -> None:
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            every.append(line)
+            every.append((line, False))
             if in_article:
                 article.append(line)
             if in_main:
                 main.append(line)
+        if around and (line := " ".join("".join(around).split())):
+            every.append((line, True))
+        around.clear()
 
     def leave(k: int) -> None:
         nonlocal furniture, in_article, in_main
@@ -85,8 +97,8 @@ def lines_of(page: str | None) -> tuple[list[str], list[str], list[str]]:
     for m in _PIECE.finditer(page or ""):
         tag = m[3]
         if tag is None:
-            if not furniture and m[1] is None and not m[0].startswith(("<!", "<?", "</")):
-                text.append(html.unescape(m[0]))
+            if m[1] is None and not m[0].startswith(("<!", "<?", "</")):
+                (around if furniture else text).append(html.unescape(m[0]))
             continue
         tag = tag.lower()
         if m[2]:
@@ -98,7 +110,7 @@ def lines_of(page: str | None) -> tuple[list[str], list[str], list[str]]:
                     break
             continue
         if tag == "br":
-            text.append(" ")
+            (around if furniture else text).append(" ")
             continue
         if tag in _BLOCK_TAGS:
             end_line()
@@ -119,8 +131,40 @@ def lines_of(page: str | None) -> tuple[list[str], list[str], list[str]]:
     return article, main, every
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of one longest common subsequence with b, by rows of bits (one word operation for many cells)."""
+#: Cells (lines of a page times lines of its partner) that an alignment may hold as bits at once.
+CELLS = 1 << 26
+
+
+def _reach(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of a and the first j of b, for each j."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    v = full = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[int], b: list[int], cells: int = CELLS) -> list[int]:
+    """Positions in a of one longest common subsequence with b.
+
+    Rows of bits, one word operation for many cells; pages with more than `cells` cells are halved where the best
+    alignments of both halves meet, so that memory grows with the lines and not with their square.
+    """
+    if not a or not b:
+        return []
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    if same:
+        return [*range(same), *(same + i for i in common_lines(a[same:], b[same:], cells))]
+    if len(a) * len(b) > cells and len(a) > 1:
+        mid = len(a) // 2
+        j = int((_reach(a[:mid], b) + _reach(a[mid:][::-1], b[::-1])[::-1]).argmax())
+        return common_lines(a[:mid], b[:j], cells) + [mid + i for i in common_lines(a[mid:], b[j:], cells)]
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
@@ -144,6 +188,8 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page: the text if its article is marked, else its lines; and hashes of all lines, with sizes, below 0 for furniture
+    and 0 for lines of a marked article."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -153,9 +199,14 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = article or main
                 marked.append(bool(own))
                 texts.append("\n\n".join(own) if own else None)
-                lines.append(None if own else every)
-                hashes.append([xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x in every])
-                sizes.append(None if own else [len(x) for x in every])
+                lines.append(None if own else [x for x, _ in every])
+                hashes.append([xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x, _ in every])
+                left = Counter(own)
+                sizes.append([])
+                for x, furniture in every:
+                    guarded = not furniture and left[x] > 0
+                    left[x] -= guarded
+                    sizes[-1].append(-len(x) if furniture else 0 if guarded else len(x))
             columns = [pa.array(marked), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "url", "marked", "text", "lines", "hashes", "sizes"])
 
@@ -216,26 +267,29 @@ def partners(pages: DataFrame) -> DataFrame:
 
 
 def _deleted(mine: pd.Series, theirs: pd.Series, sizes: pd.Series) -> pd.Series:
-    """Positions of the lines that a page shares with its partner, none if it is a copy of it."""
+    """For each line, whether the page shares it with its partner; not those of a marked article, and no text if it is a copy."""
     out = []
     for a, b, n in zip(mine, theirs, sizes):
         shared = common_lines(list(a), list(b)) if a is not None and b is not None else []
-        most = sum(int(n[i]) for i in shared) > COPY_SHARE * sum(map(int, n)) if shared else False
-        out.append([] if most else shared)
+        shared = [i for i in shared if n[i]]
+        text = sum(int(x) for x in n if x > 0)
+        copy = text and sum(int(n[i]) for i in shared if n[i] > 0) > COPY_SHARE * text and all(n)
+        gone = np.zeros(len(n), dtype=bool)
+        gone[[i for i in shared if n[i] < 0] if copy else shared] = True
+        out.append(gone)
     return pd.Series(out)
 
 
 def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(key, url, text, n_chars) of every row of pages; the lines of a text are joined by an empty line."""
+    """(key, url, text, n_chars, n_shared) of every row of pages; the lines of a text are joined by an empty line."""
     schema = "id bigint, url string, marked boolean, text string, lines array<string>, hashes array<bigint>, sizes array<bigint>"
     rows = pages.select(pages[key].cast("bigint").alias("id"), pages[url].alias("url"), pages[page].alias("html"))
-    parsed = written(rows.mapInArrow(_parse, schema))
-    done = parsed.where("marked").select("id", "url", "text")
-    open_ = parsed.where("not marked")
-    pairs = open_.select("id").distinct().join(partners(parsed.where("size(hashes) > 0").select("id", "url")), "id")
-    theirs = parsed.where("id is not null").groupBy(F.col("id").alias("other_id")).agg(F.min("hashes").alias("theirs"))
-    drop = pairs.join(theirs, "other_id").select("id", "theirs")
-    met = open_.join(drop, "id", "left").withColumn("gone", F.pandas_udf(_deleted, ArrayType(LongType()))("hashes", "theirs", "sizes"))
-    left = met.select("id", "url", F.expr("array_join(filter(lines, (x, i) -> not array_contains(gone, bigint(i))), '\\n\\n')").alias("text"))
-    out = done.union(left)
-    return out.select(F.col("id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("bigint").alias("n_chars"))
+    known = rows.where("id is not null")
+    hashes = written(known.mapInArrow(_parse, schema).select("id", "url", "hashes"))
+    theirs = hashes.groupBy(F.col("id").alias("other_id")).agg(F.min("hashes").alias("theirs"))
+    drop = partners(hashes.where("size(hashes) > 0").select("id", "url")).join(theirs, "other_id").select("id", "theirs")
+    alone = rows.where("id is null").mapInArrow(_parse, schema).withColumn("theirs", F.lit(None).cast("array<bigint>"))
+    met = known.mapInArrow(_parse, schema).join(drop, "id", "left").unionByName(alone).withColumn("gone", F.pandas_udf(_deleted, ArrayType(BooleanType()))("hashes", "theirs", "sizes"))
+    left = "array_join(filter(lines, (x, i) -> sizes[i] > 0 and not gone[i]), '\\n\\n')"
+    out = met.select("id", "url", F.expr(f"if(marked, text, {left})").alias("text"), F.expr("bigint(size(filter(gone, g -> g)))").alias("n_shared"))
+    return out.select(F.col("id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("bigint").alias("n_chars"), "n_shared")

@@ -15,10 +15,11 @@ def longest(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
-    got = html_text.common_lines(a, b)
-    assert got == sorted(set(got)) and len(got) == longest(a, b)
-    rest = iter(b)
-    assert all(a[i] in rest for i in got)
+    for cells in (html_text.CELLS, 6):
+        got = html_text.common_lines(a, b, cells)
+        assert got == sorted(set(got)) and len(got) == longest(a, b)
+        rest = iter(b)
+        assert all(a[i] in rest for i in got)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body><nav><ul><li>Home</li></ul></nav>
@@ -30,7 +31,8 @@ def test_marked_article():
     article, _, _ = html_text.lines_of(PAGE)
     assert article == ["The & title", "One two <x> &am", "Three four five"]
     assert html_text.lines_of(None) == html_text.lines_of("") == ([], [], [])
-    assert html_text.lines_of("<main><p>a < b</p></main><p>c")[1:] == (["a < b"], ["a < b", "c"])
+    assert html_text.lines_of("<main><p>a < b</p></main><p>c")[1:] == (["a < b"], [("a < b", False), ("c", False)])
+    assert html_text.lines_of('<nav>x</nav><p>a <b class="ad">buy</b>b</p>')[2] == [("x", True), ("a b", False), ("buy", True)]
     assert html_text.lines_of("<" * 2000 + "<p" * 500)[2]
 
 
@@ -72,3 +74,54 @@ def test_partners_are_neighbours_by_path_whatever_the_partitions(spark):
             common = lambda v: next((n for n, (x, y) in enumerate(zip(u, v)) if x != y), min(len(u), len(v)))  # noqa: E731,B023
             best = max(common(v) for v, _ in near)
             assert got[i] in [j for v, j in near if common(v) == best]
+
+
+def brute(rows):
+    """Texts by plain rules: partners by sorted path, alignment by a table, guards, marks."""
+    lines = {i: html_text.lines_of(p) for i, _, p in rows}
+    split = {i: (u.split("/")[2].lower(), "/" + u.split("/", 3)[3]) for i, u, _ in rows if lines[i][2]}
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    out = {}
+    for i, (article, main, every) in lines.items():
+        own, gone = article or main, set()
+        order = sorted((*split[j], j) for j in split)
+        if i in split:
+            k = order.index((*split[i], i))
+            near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][0] == split[i][0]]
+            if near:
+                other = max(near, key=lambda x: (common(x[1], split[i][1]), -x[2]))[2]
+                gone = set(html_text.common_lines([x for x, _ in every], [x for x, _ in lines[other][2]]))
+        text = sum(len(x) for x, f in every if not f)
+        copied = text and sum(len(every[n][0]) for n in gone if not every[n][1]) > html_text.COPY_SHARE * text
+        out[i] = "\n\n".join(own or [x for n, (x, f) in enumerate(every) if not f and (n not in gone or copied)])
+    return out
+
+
+def test_whole_result_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    frame = ["<div>Site</div>", "<nav>Menu</nav>", "<p>Read more</p>", "<footer>Legal</footer>"]
+    rows = []
+    for i in range(120):
+        body = [f"<p>{rng.choice(['one', 'two', 'three', 'four'])} {rng.randint(0, 3)}</p>" for _ in range(rng.randint(0, 6))]
+        if rng.random() < 0.3:
+            body = ["<article>", *body, "</article>"]
+        page = frame[: rng.randint(0, 2)] + body + frame[rng.randint(2, 4) :]
+        rows.append((i, f"https://h{i % 4}.example/{rng.choice('ab')}/{i:03d}", "".join(page)))
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = brute(rows)
+    assert {i: r.text for i, r in got.items()} == want
+    assert sum(r.n_shared > 0 for r in got.values()) > 40
+
+
+def test_long_pages_and_repeated_ids(spark):
+    import time
+
+    line = lambda k: f"<p>line {k}</p>"
+    rows = [(1, "http://a.example/1", "".join(map(line, range(30_000)))), (2, "http://a.example/2", "".join(line(k) if k % 2 else line(-k) for k in range(30_000)))]
+    rows += [(3, "http://b.example/3", "<p>x</p>")] * 2
+    began = time.perf_counter()
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id, r.text.count("line")) for r in got) == [(1, 14_999), (2, 14_999), (3, 0), (3, 0)]
+    assert time.perf_counter() - began < 60
