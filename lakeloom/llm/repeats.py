@@ -12,12 +12,16 @@ Suffixes are brought together without shuffling the text:
    by anchor. A stretch that equals an earlier one is repeated as a whole; a stretch alone with its anchor has no match.
    Within a batch of documents only the first of equal stretches goes to its anchor's group, the others are known to be repeats.
 2. Left are the distinct stretches whose anchor has several contents: edges of edits and chance repeats. Their bytes
-   are fetched, and suffix order, nearest earlier positions and factors are computed in buckets of whole anchors. Anchors
-   with more than HOT contents are cut further: each of their windows goes to a bucket by its own content.
+   are fetched, and in buckets of whole anchors their windows are put in suffix order; the previous and the next smaller position
+   of each decide whether its longest previous factor has LENGTH bytes. Anchors with more than HOT contents (a common line
+   before ever different text) go to no bucket: the first place of each of their windows is found by an aggregation over
+   digests of windows, in two steps so that no task gets all copies of one window, and all other places are repeats.
 3. Each document gets its repeated stretches, and the rest of its bytes is kept.
 
-Nothing is sampled and no bucket grows with the commonest text: copies meet in step 1 as descriptions of fixed size that are
-streamed in sorted order. Hashes of step 1 have 128 bits together; step 2 compares bytes.
+Nothing is sampled, and no bucket grows with the commonest text: copies of stretches meet in step 1 as descriptions of fixed size
+that are streamed in sorted order, those of windows in step 2 as partial minima. Suffix order is kept to step 2 because it needs
+the text itself: step 1 hands on one stretch of each content, whose copies have the same factors. Hashes of step 1 and
+digests of windows have 128 bits; the buckets of step 2 compare bytes.
 
 Defined results: a null text is empty; a text of under LENGTH bytes is kept whole; rows that repeat both id and text are
 one document, and each gets its result; texts of one id that differ, and rows with null ids (after all others), are told apart by their texts' hashes.
@@ -41,6 +45,8 @@ LENGTH = 100
 GRAM = 32
 HOT = 20_000
 BUCKET_BYTES = 2 << 20
+#: Parts of the copies of one window of a crowded anchor, and rows up to which a list of anchors or ids is broadcast.
+SALTS, BROADCAST_ROWS = 64, 200_000
 _LAST = (1 << 63) - 1
 _CODES = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _POSITION = U64((1 << 20) - 1)
@@ -175,8 +181,9 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.int64()), pa.array(a, pa.int64(), mask=whole.astype(bool))], ["doc", "sub", "pos", "m"])
 
 
-def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc, sub, start, data) from (doc, sub, text, asked: list of pos, anchors, hot flags)."""
+def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int, windows: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, doc, sub, start, data) from (doc, sub, text, asked: list of pos, anchors): bytes of stretches, or digests of
+    all their windows."""
     for batch in batches:
         data, offs = buffers(batch.column(2))
         out: list[tuple] = []
@@ -186,10 +193,8 @@ def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int) -> Iter
             for one in asked or ():
                 start, extra = divmod(one["pos"], 256)
                 piece = text[start : start + length + extra].tobytes()
-                if one["hot"]:
-                    for k in range(extra + 1):
-                        window = piece[k : k + length]
-                        out.append((-1 - int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "big") % buckets, docs[i], subs[i], start + k, window))
+                if windows:
+                    out += [(0, docs[i], subs[i], start + k, hashlib.blake2b(piece[k : k + length], digest_size=16).digest()) for k in range(extra + 1)]
                 else:
                     out.append(((one["m"] & _LAST) % buckets, docs[i], subs[i], start, piece))
             if len(out) > 20_000 or i == len(docs) - 1:
@@ -217,18 +222,26 @@ def prefix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return rank[at]
 
 
+def _nearest_smaller(order: np.ndarray) -> np.ndarray:
+    """For each entry the nearest place before it with a smaller value, or -1.
+
+    Each place points to one before which it has only greater ones in between; while that one is greater too, its own
+    pointer is followed. All places move at once, those that have arrived drop out.
+    """
+    near = np.arange(len(order)) - 1
+    open_ = np.arange(1, len(order))
+    while len(open_):
+        at = near[open_]
+        open_ = open_[(at >= 0) & (order[at] > order[open_])]
+        near[open_] = near[near[open_]]
+    return near
+
+
 def nearest_earlier(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a suffix array (positions in suffix order): of each entry, the place in it of the previous and of the next
     smaller position, or -1."""
-    n = len(order)
-    before, after = np.full(n, -1), np.full(n, -1)
-    stack: list[int] = []
-    for i, p in enumerate(order.tolist()):
-        while stack and order[stack[-1]] > p:
-            after[stack.pop()] = i
-        before[i] = stack[-1] if stack else -1
-        stack.append(i)
-    return before, after
+    back = _nearest_smaller(order[::-1])[::-1]
+    return _nearest_smaller(order), np.where(back >= 0, len(order) - 1 - back, -1)
 
 
 def longest_previous_factors(data: bytes) -> np.ndarray:
@@ -250,14 +263,15 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
 def repeated_windows(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which of the windows that start at `at` (ascending, in order of precedence) have LPF >= length among them.
 
-    The windows in suffix order, equal ones by position, are the suffix array cut at `length`. Within a run of equal
-    windows the previous entry is the previous smaller position, and the first entry has neither a previous nor a next
-    smaller one with `length` bytes in common.
+    The windows in suffix order, equal ones by position, are the suffix array cut at `length`. A window's longest previous factor
+    is the longer of what it has in common with the previous and with the next smaller position; both are
+    compared by the ranks of their `length` bytes, which are equal where the bytes are.
     """
     rank = prefix_ranks(data, at, length)
     order = np.argsort(rank, kind="stable")
     out = np.zeros(len(at), dtype=bool)
-    out[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    for near in nearest_earlier(order):
+        out[order] |= (near >= 0) & (rank[order[near]] == rank[order])
     return out
 
 
@@ -327,15 +341,24 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, sub, text): doc orders documents; sub tells apart texts of one id (0 where ids are unique, below 0: null ids)."""
     rows = docs.select(docs[key].cast("bigint").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     plain = rows.select(F.coalesce("id", F.lit(_LAST)).alias("doc"), F.lit(0).cast("bigint").alias("sub"), "text")
-    twice = rows.groupBy("id").count().where("count > 1 or id is null").select("id")
-    if twice.isEmpty():
+    twice = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    n, nulls = twice.count(), not rows.where("id is null").isEmpty()
+    if not n and not nulls:
         return plain
     twice = written(twice.withColumn("twice", F.lit(True)))
-    told = rows.join(twice, rows["id"].eqNullSafe(twice["id"]), "left").select(rows["id"], "text", F.coalesce("twice", F.lit(False)).alias("twice"))
+    told = rows.where("id is not null").join(F.broadcast(twice) if n <= BROADCAST_ROWS else twice, "id", "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
+    told = told.select("id", "text", "twice").union(rows.where("id is null").select("id", "text", F.lit(False)))
     mark = F.pmod(F.xxhash64("text"), F.lit(1 << 62)) + 1
     return told.select(F.coalesce("id", F.lit(_LAST)).alias("doc"), F.when(F.col("id").isNull(), mark - (1 << 62) - 1).when(F.col("twice"), mark).otherwise(F.lit(0)).cast("bigint").alias("sub"), "text")
 
 
+def first_places(windows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(doc, sub, start) of the first of equal windows (data: their digest); copies meet as minima of `salts` parts."""
+    place = F.struct("doc", "sub", "start")
+    parts = windows.groupBy("data", F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")).agg(F.min(place).alias("first"))
+    return parts.groupBy("data").agg(F.min("first").alias("first")).select("first.*")
+
+
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, with_text: bool = True) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept, starts, stops]) of every row of docs."""
     if not 3 * GRAM <= length <= 7 * GRAM // 2:  # stretches of up to 2 * length - GRAM bytes must be covered by their content hash
@@ -346,13 +369,23 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     dealt = told.repartition(F.when(F.col("again"), F.xxhash64("doc", "sub", "pos")).otherwise(F.col("m")))
     found = written(dealt.sortWithinPartitions("again", "m", "s", "doc", "sub", "pos").mapInArrow(_resolve, "doc bigint, sub bigint, pos bigint, m bigint"))
     ask = found.where("m is not null")
-    crowded = ask.groupBy("m").count().where(F.col("count") > hot).select("m", F.lit(True).alias("hot"))
-    n = ask.count()
+    crowded = written(ask.groupBy("m").count().where(F.col("count") > hot).select("m"))
+    n, n_crowded = ask.count(), crowded.count()
     buckets = max(1, n * (length + 30) // bucket_bytes)
-    asked = ask.join(crowded, "m", "left").groupBy("doc", "sub").agg(F.collect_list(F.struct("pos", "m", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    pieces = rows.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked").mapInArrow(lambda it: _fetch(it, buckets, length), "bucket bigint, doc bigint, sub bigint, start bigint, data binary")
-    more = pieces.groupBy("bucket").applyInArrow(lambda t: _factors(t, length), "doc bigint, sub bigint, pos bigint")
-    spans = found.where("m is null").select("doc", "sub", "pos").union(more).groupBy("doc", "sub").agg(F.collect_list("pos").alias("spans"))
+
+    def fetched(ask: DataFrame, windows: bool) -> DataFrame:
+        asked = ask.groupBy("doc", "sub").agg(F.collect_set(F.struct("pos", "m")).alias("asked"))
+        return rows.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked").mapInArrow(lambda it: _fetch(it, buckets, length, windows), "bucket bigint, doc bigint, sub bigint, start bigint, data binary")
+
+    spans = found.where("m is null").select("doc", "sub", "pos")
+    if n_crowded:
+        crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+        windows = written(fetched(ask.join(crowded, "m", "left_semi"), True).select("doc", "sub", "start", "data"))
+        # by place, which is unique, and not by content: a balanced join
+        spans = spans.union(windows.select("doc", "sub", "start").join(first_places(windows), ["doc", "sub", "start"], "left_anti").select("doc", "sub", F.expr("start * 256")))
+        ask = ask.join(crowded, "m", "left_anti")
+    spans = spans.union(fetched(ask, False).groupBy("bucket").applyInArrow(lambda t: _factors(t, length), "doc bigint, sub bigint, pos bigint"))
+    spans = spans.groupBy("doc", "sub").agg(F.collect_set("pos").alias("spans"))
     schema = "doc bigint, sub bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, starts array<bigint>, stops array<bigint>" if with_text else "")
     cut = rows.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).alias("spans")).mapInArrow(lambda it: _cut(it, length, with_text), schema)
     return cut.select(F.when(F.col("sub") >= 0, F.col("doc")).alias(key), *[c for c in cut.columns if c not in ("doc", "sub")])

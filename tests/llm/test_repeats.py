@@ -63,6 +63,38 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert repeats.remove(df.where("doc_id > 99")).count() == 0
 
 
+def test_a_common_line_before_unique_text_goes_to_no_bucket(spark, monkeypatch):
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, line + "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    met = []
+    monkeypatch.setattr(repeats, "first_places", lambda w, real=repeats.first_places: met.append(w) or real(w))
+    got = {r.doc_id: r.n_removed for r in repeats.remove(df, hot=50, with_text=False).collect()}
+    assert got == {k: v[1] for k, v in brute(rows).items()}
+    (windows,) = met
+    copies = windows.groupBy("data").count().agg({"count": "max"}).first()[0]
+    part = windows.selectExpr("data", f"pmod(xxhash64(doc), {repeats.SALTS}) s").groupBy("data", "s").count().agg({"count": "max"}).first()[0]
+    assert copies > 300 and part < 25  # what one task may get of a window that all documents have
+
+
+def test_many_null_ids_and_many_copies_of_a_row(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(250)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(5, texts[0])] * 50 + [(None, None), (6, "")]
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=False).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == sorted([(0, 0)] * 40 + [(0, 250)] + [(5, 0)] * 50 + [(6, 0)])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.permutations(range(12)))
+def test_nearest_smaller_positions(order):
+    before, after = repeats.nearest_earlier(np.array(order))
+    for i, p in enumerate(order):
+        assert before[i] == max((j for j in range(i) if order[j] < p), default=-1)
+        assert after[i] == min((j for j in range(i + 1, 12) if order[j] < p), default=-1)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab", max_size=60))
 def test_factors_by_nearest_earlier_positions(text):
