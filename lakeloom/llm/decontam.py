@@ -8,8 +8,15 @@ at least one block must agree. Their whole distance is verified, then the exact
 (sum of minima over sum of maxima of shingle counts). At similarity 0.8 the fingerprints differ by some ten bits
 of 64; RADIUS is four standard deviations above.
 
-Items are a query set held in memory in blocks of bounded size, against all documents; documents are never shuffled.
-Defined results: null texts are empty; an item without words matches nothing; repeated document rows give one row.
+Items are a query set held in memory in blocks of bounded size, one after the other, against all documents; with more than one
+block each block's results are written before the next one is made. Documents are never shuffled.
+
+A radius of a third of the bits leaves blocks of two or three bits, by which nearly all items of a size are looked up; blocks long
+enough to select would need a radius that loses items. The whole distance is what selects (one unrelated item in 160 lies
+within RADIUS), and the shared shingle decides for which windows it is taken.
+
+Defined results: null texts are empty; an item without words, or without id, matches nothing; rows of one id, repeated ones and all
+that have no id, give one row for each item, that of the best window among them.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm._durable import written
 from lakeloom.llm._text import NOT_ALNUM, U64, shingle_hashes, slices, span_hashes, word_spans
 
 SHINGLE = 5
@@ -161,14 +169,14 @@ def _search_batches(batches: Iterable[pa.RecordBatch], index: ItemIndex) -> Iter
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["key", "item_id", "similarity", "start_word", "n_words"])
 
 
-def _indexes(items: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
-    """The items in blocks of bounded size, each broadcast as an index."""
+def _indexes(items: DataFrame, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in blocks of bounded size, each broadcast as an index, and whether there are others."""
     items = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
-        block = [tuple(r) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()]
-        yield items.sparkSession.sparkContext.broadcast(ItemIndex(block))
+        block = [tuple(r) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).toLocalIterator()]
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex(block)), blocks > 1
 
 
 def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -176,8 +184,11 @@ def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     out = None
-    for held in _indexes(items, block_bytes):
+    for held, more in _indexes(items, block_bytes):
         part = rows.mapInArrow(lambda it, held=held: _search_batches(it, held.value), f"key {kind}, item_id bigint, similarity double, start_word bigint, n_words bigint")
+        if more:  # only one block is held at a time
+            part = written(part)
+            held.unpersist()
         out = part if out is None else out.union(part)
     best = F.max_by(F.struct("start_word", "n_words"), F.struct("similarity", -F.col("start_word"))).alias("b")
     out = out.groupBy("key", "item_id").agg(F.max("similarity").alias("similarity"), best)
@@ -195,6 +206,9 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", block_bytes:
                     stay[i + d] = False
             yield batch.filter(pa.array(stay))
 
-    for held in _indexes(items, block_bytes):
+    for held, more in _indexes(items, block_bytes):
         docs = docs.mapInArrow(lambda it, held=held, at=docs.columns.index(text): keep(it, held.value, at), docs.schema)
+        if more:
+            docs = written(docs)
+            held.unpersist()
     return docs

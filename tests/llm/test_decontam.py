@@ -82,3 +82,18 @@ def test_documents_shorter_than_the_item_are_one_window(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in found} == want and len(want) > len(items)
     assert all(r.n_words == min(len(words_of(docs[r.doc_id][1])), len(words_of(items[r.item_id][1]))) for r in found)
     assert {r.doc_id for r in decontam.clean(df, its).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_null_ids_long_texts_and_empty_tables(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    item = " ".join(rng.choice(vocab) for _ in range(40))
+    long = " ".join(rng.choice(vocab) for _ in range(200_000))
+    docs = [(None, "x " + item), (None, item + " y z"), (None, "clean text"), (1, long[:600_000] + " " + item + " " + long[600_000:]), (2, long)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    its = spark.createDataFrame([(7, item), (None, item)], "item_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.similarity) for r in decontam.find(df, its).collect())
+    assert got == [(0, 7, 1.0), (1, 7, 1.0)]
+    assert sorted((r.doc_id or 0, len(r.text)) for r in decontam.clean(df, its).collect()) == [(0, 10), (2, len(long))]
+    assert decontam.find(df.where("doc_id > 9"), its).count() == 0 and decontam.clean(df.where("doc_id > 9"), its).count() == 0
+    assert decontam.find(df, its.where("item_id > 9")).count() == 0 and decontam.clean(df, its.where("item_id > 9")).count() == 5
