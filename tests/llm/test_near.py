@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import near, simhash
 
@@ -63,3 +64,24 @@ def test_bucket_groups_are_exact():
         sets.append(np.sort(other))
     sets.append(np.sort(rng.integers(0, 2**63, 40).astype(np.uint64)))
     assert sorted(near.linked(sets)) == [(k, 0) for k in range(1, 30)]
+
+
+@pytest.mark.parametrize(("hot", "block"), [(1, 4), (3, 256)])
+def test_hot_buckets_lose_no_link(spark, monkeypatch, hot, block):
+    rng = random.Random(12)
+    rows = [t for _, t in planted()]
+    base = [f"h{i}" for i in range(120)]
+    for k in range(40):  # a crowd around one text, some far from it but near each other, and a chain away from it
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
+        rows.append(" ".join(text))
+    for k in range(1, 12):
+        rows.append(" ".join([f"z{i}" for i in range(3 * k)] + base[3 * k :]))
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(near, "OUT_BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK", block)
+    of = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("mark", F.xxhash64("text"))
+    got = [r.key for r in near.firsts(df, key="doc_id", mark="mark", text="text", hot=hot).collect()]
+    assert sorted(got) == sorted(min(i for i, _ in rows if of[i] == c) for c in set(of))
