@@ -181,9 +181,9 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.int64()), pa.array(a, pa.int64(), mask=whole.astype(bool))], ["doc", "sub", "pos", "m"])
 
 
-def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int, windows: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc, sub, start, data) from (doc, sub, text, asked: list of pos, anchors): bytes of stretches, or digests of
-    all their windows."""
+def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, doc, sub, start, data) from (doc, sub, text, asked: list of pos, anchor, whether it is crowded): bytes of
+    stretches, or (bucket -1) digests of all their windows."""
     for batch in batches:
         data, offs = buffers(batch.column(2))
         out: list[tuple] = []
@@ -193,8 +193,8 @@ def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int, windows
             for one in asked or ():
                 start, extra = divmod(one["pos"], 256)
                 piece = text[start : start + length + extra].tobytes()
-                if windows:
-                    out += [(0, docs[i], subs[i], start + k, hashlib.blake2b(piece[k : k + length], digest_size=16).digest()) for k in range(extra + 1)]
+                if one["hot"]:
+                    out += [(-1, docs[i], subs[i], start + k, hashlib.blake2b(piece[k : k + length], digest_size=16).digest()) for k in range(extra + 1)]
                 else:
                     out.append(((one["m"] & _LAST) % buckets, docs[i], subs[i], start, piece))
             if len(out) > 20_000 or i == len(docs) - 1:
@@ -373,18 +373,21 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     n, n_crowded = ask.count(), crowded.count()
     buckets = max(1, n * (length + 30) // bucket_bytes)
 
-    def fetched(ask: DataFrame, windows: bool) -> DataFrame:
-        asked = ask.groupBy("doc", "sub").agg(F.collect_set(F.struct("pos", "m")).alias("asked"))
-        return rows.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked").mapInArrow(lambda it: _fetch(it, buckets, length, windows), "bucket bigint, doc bigint, sub bigint, start bigint, data binary")
-
+    if n_crowded:
+        ask = ask.join((F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded).withColumn("hot", F.lit(True)), "m", "left")
+        ask = ask.withColumn("hot", F.coalesce("hot", F.lit(False)))
+    else:
+        ask = ask.withColumn("hot", F.lit(False))
+    asked = ask.groupBy("doc", "sub").agg(F.collect_set(F.struct("pos", "m", "hot")).alias("asked"))
+    pieces = rows.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked").mapInArrow(lambda it: _fetch(it, buckets, length), "bucket bigint, doc bigint, sub bigint, start bigint, data binary")
     spans = found.where("m is null").select("doc", "sub", "pos")
     if n_crowded:
-        crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-        windows = written(fetched(ask.join(crowded, "m", "left_semi"), True).select("doc", "sub", "start", "data"))
+        pieces = written(pieces)
+        windows = pieces.where("bucket < 0").select("doc", "sub", "start", "data")
         # by place, which is unique, and not by content: a balanced join
         spans = spans.union(windows.select("doc", "sub", "start").join(first_places(windows), ["doc", "sub", "start"], "left_anti").select("doc", "sub", F.expr("start * 256")))
-        ask = ask.join(crowded, "m", "left_anti")
-    spans = spans.union(fetched(ask, False).groupBy("bucket").applyInArrow(lambda t: _factors(t, length), "doc bigint, sub bigint, pos bigint"))
+        pieces = pieces.where("bucket >= 0")
+    spans = spans.union(pieces.groupBy("bucket").applyInArrow(lambda t: _factors(t, length), "doc bigint, sub bigint, pos bigint"))
     spans = spans.groupBy("doc", "sub").agg(F.collect_set("pos").alias("spans"))
     schema = "doc bigint, sub bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, starts array<bigint>, stops array<bigint>" if with_text else "")
     cut = rows.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).alias("spans")).mapInArrow(lambda it: _cut(it, length, with_text), schema)
