@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeloom.operators import aggregates, windows
@@ -55,39 +57,94 @@ def test_ewma_stream_equals_the_batch_fold(spark, tmp_path):
     assert {k: v[1] for k, v in last.items()} == {r.k: round(r.ewma, 9) for r in want}
 
 
-def test_means_are_published_by_interval_and_samples():
-    c = averages.MeanConfig(alpha=0.25, ttl_ms=10_000, interval_ms=1000, min_samples=4)
-    s = averages.EMPTY
-    for k in range(4):
-        s = averages.sampled(s, 100.0 * k, 2.0, c)
-    assert not s[9]  # enough samples, but the interval isn't over
-    s = averages.sampled(s, 1000.0, 7.0, c)
-    assert s[9] and s[0] == 3.0 and s[3] == 5
-    for k in range(4):
-        s = averages.sampled(s, 1500.0 + 100 * k, 5.0, c)
-    assert s[0] == 3.0
-    s = averages.sampled(s, 2500.0, 5.0, c)
-    assert s[0] == 0.75 * 3.0 + 0.25 * 5.0
-    assert not averages.published(s, 20_000.0, c)[9]  # stale
-    s = averages.sampled(s, 30_000.0, 1.0, c)
-    assert s[2] == 1 and not s[9]
-    frozen = averages.MeanConfig(alpha=0.5, ttl_ms=10_000, interval_ms=100, min_samples=1, freeze_after_ms=500)
-    s = averages.EMPTY
-    for t, v in ((0, 1), (100, 2), (600, 4), (700, 400)):
-        s = averages.sampled(s, float(t), float(v), frozen)
-    assert s[10] and averages.is_fresh(s, 1e9, frozen) and s[0] < 5
+def one_by_one(samples, c):
+    """Published means by the rules, a sample at a time: (mean, samples, time of publication, frozen) or None."""
+    told, window, first, last, count, frozen = None, None, None, None, 0, False
+    for t, v in samples:
+        if frozen:
+            break
+        t = t if last is None else max(t, last)
+        if last is None or t - last > c.ttl_ms:
+            told, window, first, count = None, [t, []], t, 0
+        if t - window[0] > c.ttl_ms:
+            window = [t, []]
+        last = t
+        window[1].append(v)
+        if t - window[0] >= c.interval_ms and len(window[1]) >= c.min_samples:
+            value = sum(window[1]) / len(window[1])
+            told = (value if told is None or t - told[1] > c.ttl_ms else told[0] + c.alpha * (value - told[0]), t)
+            count += len(window[1])
+            window = [t, []]
+        frozen = 0 < c.freeze_after_ms <= t - first and told is not None and t - told[1] <= c.ttl_ms
+    if told is None or not (frozen or last - told[1] <= c.ttl_ms):
+        return None
+    return round(told[0], 9), count, told[1], frozen
+
+
+def read(s, c):
+    return (round(s.mean, 9), s.samples, s.at, s.frozen) if s.usable(s.latest, c) else None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_published_means_follow_the_rules_in_any_batches(data):
+    c = averages.MeanConfig(
+        alpha=data.draw(st.sampled_from([0.25, 1.0])), ttl_ms=data.draw(st.sampled_from([300, 900])), interval_ms=data.draw(st.sampled_from([0, 100, 300])),
+        min_samples=data.draw(st.integers(1, 4)), freeze_after_ms=data.draw(st.sampled_from([0, 500, 1200])),
+    )
+    steps = data.draw(st.lists(st.sampled_from([0, 20, 90, 100, 200, 299, 301, 950]), max_size=40))
+    samples, t = [], 0.0
+    for k, step in enumerate(steps):
+        t += step
+        samples.append((t, float(k % 7)))
+    s, at = averages.PublishedMean(), 0
+    while at < len(samples):
+        n = data.draw(st.integers(1, 12))
+        part = samples[at : at + n]
+        s.observe([t for t, _ in part], [v for _, v in part], c)
+        at += n
+    assert (read(s, c) if samples else None) == (one_by_one(samples, c) if samples else None)
+
+
+def test_a_mean_is_an_ewma_of_whole_windows():
+    c = averages.MeanConfig(alpha=0.5, interval_ms=1000, min_samples=3, ttl_ms=5000)
+    s = averages.PublishedMean().observe([0, 400, 800, 1000], [1, 2, 3, 6], c)
+    assert read(s, c) == (3.0, 4, 1000, False)
+    s.observe([1500, 2500], [9, 9], c)  # long enough, but two samples
+    assert s.mean == 3.0
+    s.observe([2400], [3], c)  # late: counts at the time of the last one
+    assert (s.mean, s.at, s.samples) == (5.0, 2500, 7)
+    assert not s.usable(7501, c) and averages.MeanConfig() == averages.MeanConfig(min_samples=100, ttl_ms=10_000)
     with pytest.raises(ValueError):
         averages.MeanConfig(ttl_ms=1, interval_ms=2)
 
 
 def test_mean_stream(spark, tmp_path):
-    rows = [(0, float(200 * k), 2.0 + k) for k in range(12)]
+    rows = [(k % 2, 1e6 + 200.0 * k, 2.0 + k) for k in range(24)]
     c = averages.MeanConfig(alpha=0.5, ttl_ms=10_000, interval_ms=1000, min_samples=2)
-    got = drain(averages.mean_stream(stream(spark, tmp_path, [rows[:4], rows[4:9], rows[9:]], "k int, t double, v double"), ["k"], "t", "v", c), "means", "update", tmp_path)
-    s = averages.EMPTY
-    for _, t, v in rows:
-        s = averages.sampled(s, t, v, c)
-    assert max((r.samples, r.mean) for r in got) == (s[3], s[0])
+    schema = "k int, t double, v double"
+    got = drain(averages.mean_stream(stream(spark, tmp_path, [rows[:7], rows[7:18], rows[18:]], schema), ["k"], "t", "v", c), "means", "update", tmp_path)
+    for key in (0, 1):
+        want = one_by_one([(t, v) for k, t, v in rows if k == key], c)
+        assert max((r.samples, round(r.mean, 9), r.published_ms) for r in got if r.k == key) == (want[1], want[0], want[2])
+
+
+def test_silent_keys_lose_their_state(spark, tmp_path):
+    c = averages.MeanConfig(ttl_ms=2_000, interval_ms=100, min_samples=1)
+    batches = [[(1, 100.0, 4.0), (1, 500.0, 4.0)], [(2, 60_000.0, 1.0)], [(2, 120_000.0, 1.0)], [(2, 180_000.0, 1.0)]]
+    df = averages.mean_stream(stream(spark, tmp_path, batches, "k int, t double, v double"), ["k"], "t", "v", c, "1 second")
+    q = df.writeStream.format("memory").queryName("silent").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress][-1] == 1
+
+
+def test_estimates_fall_back_to_their_kind_and_are_bounded(spark):
+    rows = [(1, "read", 2.0, 1, 10.0), (2, "read", 5.0, 3, 20.0), (2, "write", 9.0, 1, 30.0)]
+    known = spark.createDataFrame(rows, "page int, kind string, ewma double, samples long, first_ms double")
+    wanted = spark.createDataFrame([(1, "read"), (7, "read"), (1, "write"), (1, "upgrade")], "page int, kind string")
+    got = {(r.page, r.kind): r.estimate for r in averages.with_fallback(wanted, known, ["page", "kind"], "kind").collect()}
+    assert got == {(1, "read"): 2.0, (7, "read"): 4.25, (1, "write"): 9.0, (1, "upgrade"): None}
+    assert sorted(r.first_ms for r in averages.within_capacity(known, 2).collect()) == [20.0, 30.0]
 
 
 def test_votes(spark, tmp_path):
