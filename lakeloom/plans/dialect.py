@@ -13,7 +13,12 @@ from dataclasses import dataclass, field
 
 from lakeloom.plans.errors import SyntaxFault
 
-KEYWORDS = frozenset("show tables create drop desc insert into values delete from asc order by where update set select int char float index and join on begin commit abort rollback primary key exit help table".split())
+# The keywords of the dialect.
+KEYWORDS = frozenset([
+    "show", "tables", "create", "drop", "desc", "insert", "into", "values", "delete", "from", "asc", "order", "by",
+    "where", "update", "set", "select", "int", "char", "float", "index", "and", "join", "on", "begin", "commit",
+    "abort", "rollback", "primary", "key", "exit", "help", "table",
+])
 _TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|(?P<num>[+-]?\d+\.\d*|[+-]?\d+)|(?P<word>[A-Za-z][A-Za-z0-9_]*)|'(?P<str>[^']*)'|(?P<op><>|<=|>=|[<>=(),.;*])", re.S)
 
 

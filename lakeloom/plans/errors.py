@@ -41,3 +41,9 @@ class TransactionAborted(EngineError):
     """A conflict with another transaction: the whole transaction is rolled back."""
 
     code = 1012
+
+
+class Conflict(EngineError):
+    """Another engine has committed first."""
+
+    code = 1012
