@@ -12,9 +12,10 @@ from lakeloom.operators import aggregates as A
 from lakeloom.operators import relational as R
 from lakeloom.operators import waits
 from lakeloom.operators import windows as W
-from lakeloom.plans import costs
+from lakeloom.plans import costs, workloads
 from lakeloom.session import load
 from lakeloom.sources import metrics, transactions
+from lakeloom.streaming import votes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -168,7 +169,7 @@ def abort_ratio_by_type(spark, sf_dir):
 (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 GROUP BY event_type""")
 def latency_p50_p90(spark, sf_dir):
-    return A.index_pick(load(spark, sf_dir, "events").select("event_type", "value", "event_id"), ["event_type"], "value", {"p50": (1, 2), "p90": (90, 100)}, "event_id")
+    return A.index_pick(load(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", {"p50": (1, 2), "p90": (90, 100)})
 
 
 @query("""SELECT l_returnflag, round(sum(l_extendedprice) / sum(l_quantity), 4) AS mean_price,
@@ -256,12 +257,12 @@ def redo_replay(spark, sf_dir):
     return W.replayed(log.union(log.where("event_id % 3 = 0")), ["user_id"], "event_id", "op")
 
 
-@query("""WITH RECURSIVE s AS (SELECT user_id, value, epoch_us(ts) / 1000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id % 10 = 0),
+@query("""WITH RECURSIVE s AS (SELECT user_id, value, epoch_us(ts) / 1000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 e AS (SELECT user_id, i, t, value AS m FROM s WHERE i = 1
 UNION ALL SELECT s.user_id, s.i, s.t, CASE WHEN s.t - e.t <= 3600000 THEN 0.8 * e.m + 0.2 * s.value ELSE s.value END FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1)
 SELECT user_id, max(i) AS samples, round(max_by(m, i), 6) AS ewma FROM e GROUP BY user_id""")
 def ewma_per_key(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").where("user_id % 10 = 0").withColumn("ms", W.wall_ms("ts"))
+    rows = load(spark, sf_dir, "events").withColumn("ms", W.wall_ms("ts"))
     return W.ewma(rows, ["user_id"], ["ts", "event_id"], "ms", "value", 0.2, 3_600_000).withColumn("ewma", F.round("ewma", 6))
 
 
@@ -289,14 +290,14 @@ def cost_choice(spark, sf_dir):
     return out.select("txn", "eligible", lazy.alias("lazy_ms"), twopc.alias("twopc_ms"), "commit_delta_ms", (F.col("eligible") & (lazy > twopc + F.col("commit_delta_ms"))).alias("twopc"))
 
 
-_EDGES = "SELECT DISTINCT l_suppkey AS waiter, l_suppkey * 7 % 11 + l_linenumber % 2 AS holder FROM lineitem WHERE l_suppkey < 40"
+_EDGES = "SELECT DISTINCT l_suppkey AS waiter, l_suppkey * 7 % 11 + l_linenumber % 2 AS holder FROM lineitem"
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), w(txn, here, steps) AS (SELECT waiter, holder, 1 FROM e
 UNION SELECT w.txn, e.holder, w.steps + 1 FROM w JOIN e ON w.here = e.waiter WHERE w.steps < 16 AND w.txn <> w.here)
 SELECT txn, CAST(min(steps) AS INT) AS cycle_length FROM w WHERE txn = here GROUP BY txn""")
 def deadlock_cycles(spark, sf_dir):
-    edges = load(spark, sf_dir, "lineitem").where("l_suppkey < 40").selectExpr("l_suppkey waiter", "l_suppkey * 7 % 11 + l_linenumber % 2 holder")
+    edges = load(spark, sf_dir, "lineitem").selectExpr("l_suppkey waiter", "l_suppkey * 7 % 11 + l_linenumber % 2 holder")
     return waits.deadlock_cycles(edges)
 
 
@@ -392,3 +393,76 @@ def resolved_locks(spark, sf_dir):
 def free_space_page(spark, sf_dir):
     pages = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_acctbal").alias("free"))
     return R.top_k(R.select_where(pages, [("free", ">=", 500.0)]), 1, F.asc("free"), F.asc("page"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def bulk_load_sorted(spark, sf_dir):
+    return R.bulk_sorted(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT count(*) AS locks, count(*) AS names FROM (SELECT DISTINCT l_linenumber, l_partkey FROM lineitem)")
+def lock_key_names(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select("l_linenumber", "l_partkey").distinct()
+    return rows.select(keys.lock_key(F.col("l_linenumber"), F.col("l_partkey")).alias("h")).agg(F.count("*").alias("locks"), F.countDistinct("h").alias("names"))
+
+
+@query("""SELECT node, CAST(sum(n) AS BIGINT) AS records, CAST(sum(b) AS BIGINT) AS batches, round(sum(n) / sum(b), 6) AS records_per_batch FROM
+(SELECT node, n, ceil(n / 16.0) AS b FROM (SELECT user_id % 4 AS node, time_bucket(INTERVAL 10 MINUTES, ts, TIMESTAMP '1970-01-01') AS w, count(*) AS n FROM events GROUP BY ALL)) GROUP BY node""")
+def records_per_batch(spark, sf_dir):
+    return A.flushes(load(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("node"), "ts"), ["node"], "ts", "10 minutes", 16)
+
+
+@query("""SELECT mode, count(*) AS transactions, round(sum(o_totalprice), 2) AS total FROM (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'eager' WHEN 1 THEN 'lazy' WHEN 3 THEN 'single'
+ELSE CASE o_orderkey % 5 WHEN 2 THEN '2pc' ELSE 'mix' END || '/' || CASE o_custkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'cornus' ELSE 'cornus_opt' END END AS mode FROM orders) GROUP BY mode""")
+def totals_by_mode(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_totalprice", (F.col("o_orderkey") % 5).alias("code"), (F.col("o_custkey") % 3).alias("variant"))
+    return metrics.with_mode(rows, "code", "variant").groupBy("mode").agg(F.count("*").alias("transactions"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT l_orderkey AS txn, CASE WHEN NOT bool_and(l_quantity < 48) THEN 'abort' WHEN count(DISTINCT l_suppkey % 4) >= max(l_linenumber) THEN 'commit' ELSE 'timeout' END AS decision,
+CAST(count(DISTINCT l_suppkey % 4) AS INT) AS voters FROM lineitem GROUP BY l_orderkey""")
+def vote_decisions(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem")
+    return votes.decided(rows.select(F.col("l_orderkey").alias("txn"), (F.col("l_suppkey") % 4).alias("node"), F.col("l_linenumber").alias("participants"), (F.col("l_quantity") < 48).alias("vote")))
+
+
+_PAIRS = "SELECT a.c_custkey AS source, b.c_custkey AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 2 = 1"
+
+
+def _accounts(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer")
+    pairs = rows.where("c_custkey % 2 = 1").selectExpr("c_custkey source", "c_custkey + 1 target").join(rows.select(F.col("c_custkey").alias("target")), "target", "left_semi")
+    return rows.selectExpr("c_custkey acct_id", "c_acctbal bal"), rows.selectExpr("c_custkey acct_id", "double(c_nationkey) bal"), pairs
+
+
+@query(f"""WITH p AS ({_PAIRS}), s AS (SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT source FROM p) THEN 0 ELSE c_acctbal END AS s,
+CASE WHEN c_custkey IN (SELECT source FROM p) THEN 0 ELSE c_nationkey END AS c FROM customer), t AS (SELECT target, c_acctbal + c_nationkey AS more FROM p JOIN customer ON source = c_custkey)
+SELECT id AS acct_id, round(s, 2) AS savings, round(c + coalesce(more, 0), 2) AS checking FROM s LEFT JOIN t ON id = target""")
+def bank_amalgamate(spark, sf_dir):
+    savings, checking = workloads.amalgamate(*_accounts(spark, sf_dir))
+    both = savings.withColumnRenamed("bal", "s").join(checking.withColumnRenamed("bal", "c"), "acct_id")
+    return both.select("acct_id", F.round("s", 2).alias("savings"), F.round("c", 2).alias("checking"))
+
+
+@query(f"""WITH p AS ({_PAIRS}), m AS (SELECT source, target FROM p JOIN customer ON source = c_custkey WHERE c_nationkey >= 5)
+SELECT c_custkey AS acct_id, CAST(c_nationkey - CASE WHEN c_custkey IN (SELECT source FROM m) THEN 5 ELSE 0 END + CASE WHEN c_custkey IN (SELECT target FROM m) THEN 5 ELSE 0 END AS DOUBLE) AS bal FROM customer""")
+def bank_send_payment(spark, sf_dir):
+    _, checking, pairs = _accounts(spark, sf_dir)
+    return workloads.send_payment(checking, pairs)
+
+
+@query("SELECT round(sum(c_acctbal + c_nationkey), 2) AS before, round(sum(c_acctbal + c_nationkey), 2) AS after FROM customer")
+def bank_total_is_kept(spark, sf_dir):
+    s, c, pairs = _accounts(spark, sf_dir)
+    s2, c2 = workloads.amalgamate(s, workloads.send_payment(c, pairs), pairs)
+    total = lambda df, name: df.agg(F.round(F.sum("total"), 2).alias(name)).withColumn("_k", F.lit(1))
+    return total(workloads.balances(s, c), "before").join(total(workloads.balances(s2, c2), "after"), "_k").drop("_k")
+
+
+@query("""WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey), h AS (SELECT l_partkey FROM c ORDER BY n DESC, l_partkey LIMIT 100)
+SELECT l_orderkey AS txn, count(*) AS total, count(h.l_partkey) AS hot, count(h.l_partkey) / count(*) >= 0.2 AS twopc FROM lineitem l LEFT JOIN h ON l.l_partkey = h.l_partkey GROUP BY l_orderkey""")
+def hot_key_choice(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    hot = R.top_k(rows.groupBy("l_partkey").agg(F.count("*").alias("n")), 100, F.desc("n"), F.asc("l_partkey")).select("l_partkey", F.lit(True).alias("is_hot"))
+    out = rows.join(hot, "l_partkey", "left").groupBy(F.col("l_orderkey").alias("txn")).agg(F.count("*").alias("total"), F.count("is_hot").alias("hot"))
+    return out.withColumn("twopc", costs.hot_key_decision(F.col("hot"), F.col("total"), costs.CostConfig().historical_threshold))

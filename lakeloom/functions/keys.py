@@ -49,3 +49,8 @@ def stock_key(w: Column, i: Column, stock: int = STOCK) -> Column:
 def owner_node(page: Column, partition_size: int, nodes: int) -> Column:
     """The node that owns a page (from 1 on) when runs of pages are dealt out in turn."""
     return F.pmod(F.floor((_long(page) - 1) / partition_size), F.lit(nodes)).cast("int")
+
+
+def lock_key(table: Column, key: Column) -> Column:
+    """A 64-bit hash that names a row's lock."""
+    return F.xxhash64(table, _long(key))

@@ -12,11 +12,15 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named is None and known.isDefined():
+        named = known.get()
     if named is None:
-        named = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lakeloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lakeloom-")
     if not known.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

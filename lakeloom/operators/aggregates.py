@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.windows import at_places
+
 
 def ratio_by(df: DataFrame, by: Sequence[str], good: Column) -> DataFrame:
     """attempts, commits and abort_ratio of each group; good marks what was committed."""
@@ -15,17 +17,14 @@ def ratio_by(df: DataFrame, by: Sequence[str], good: Column) -> DataFrame:
     return out.withColumn("abort_ratio", F.round(1 - F.col("commits") / F.col("attempts"), 6))
 
 
-def index_pick(df: DataFrame, by: Sequence[str], value: str, picks: dict[str, tuple[int, int]], *ties: str) -> DataFrame:
+def index_pick(df: DataFrame, by: Sequence[str], value: str, picks: dict[str, tuple[int, int]]) -> DataFrame:
     """Elements at the 0-based index floor(n * a / b) of each group's ascending values: no interpolation.
 
-    picks: name -> (a, b). Ranking is a window over the group; only picked rows are aggregated.
+    picks: name -> (a, b). Equal values are counted first, so that frequent ones are one row.
     """
-    order = Window.partitionBy(*by).orderBy(value, *ties)
-    n = F.count("*").over(Window.partitionBy(*by))
-    placed = df.withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", n)
-    place = {name: F.floor(F.col("_n") * a / b) for name, (a, b) in picks.items()}
-    kept = placed.where(F.exists(F.array(*place.values()), lambda x: x == F.col("_at")))
-    return kept.groupBy(*by).agg(*[F.max(F.when(F.col("_at") == p, F.col(value))).alias(name) for name, p in place.items()])
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("_w"))
+    found = at_places(counted, by, [value], {name: lambda n, a=a, b=b: F.floor(n * a / b) for name, (a, b) in picks.items()}, weight="_w")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in picks])
 
 
 def guarded_sum(value: Column, expected: Column) -> Column:
@@ -82,3 +81,11 @@ def deduped_flags(df: DataFrame, by: Sequence[str], flag: str) -> DataFrame:
 def merged_rows(df: DataFrame, by: Sequence[str], counters: Sequence[str]) -> DataFrame:
     """Additive counters summed over parts."""
     return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counters])
+
+
+def flushes(records: DataFrame, by: Sequence[str], ts: str, interval: str, trigger: int) -> DataFrame:
+    """(by..., records, batches, records_per_batch) of group commit: a batch goes out with its `trigger`-th record, and with
+    the end of an interval that has records."""
+    ticks = records.groupBy(*by, F.window(ts, interval).alias("w")).agg(F.count("*").alias("records"))
+    ticks = ticks.withColumn("batches", F.ceil(F.col("records") / trigger))
+    return merged_rows(ticks, by, ["records", "batches"]).withColumn("records_per_batch", F.round(F.col("records") / F.col("batches"), 6))

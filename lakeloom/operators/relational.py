@@ -12,18 +12,12 @@ from pyspark.sql import functions as F
 #: (left column, operator, right): right is a Column, or a literal.
 Condition = tuple[str, str, Any]
 _OPS = {"=": "__eq__", "<>": "__ne__", "<": "__lt__", ">": "__gt__", "<=": "__le__", ">=": "__ge__"}
-_FLIPPED = {"=": "=", "<>": "<>", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 def comparison(left: Column, op: str, right: Column) -> Column:
     return getattr(left, _OPS[op])(right)
 
 
-def flipped(op: str) -> str:
-    """The operator that holds when the sides are swapped."""
-    return _FLIPPED[op]
-
-
 def condition(spec: Condition) -> Column:
     left, op, right = spec
     return comparison(F.col(left), op, right if isinstance(right, Column) else F.lit(right))
@@ -75,6 +69,12 @@ def ordered(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     return df.orderBy(F.col(column).desc() if descending else F.col(column).asc())
 
 
+def bulk_sorted(df: DataFrame, *key: str, partitions: int | None = None) -> DataFrame:
+    """Rows in ranges of the key, sorted within each: the layout of a bulk-loaded index, whose files' statistics prune look-ups."""
+    ranged = df.repartitionByRange(partitions, *key) if partitions else df.repartitionByRange(*key)
+    return ranged.sortWithinPartitions(*key)
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows by the given order: each task keeps k rows, no total sort."""
     return df.orderBy(*order).limit(k)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.lineage import cut
+
 
 def latest(df: DataFrame, key: Sequence[str], *version: str) -> DataFrame:
     """The row of each key with the greatest version: an aggregation with partial maxima, not a sort of each group."""
@@ -25,11 +27,35 @@ def replayed(log: DataFrame, key: Sequence[str], lsn: str, op: str, deleted: str
     return latest(log, key, lsn).where(F.col(op) != deleted)
 
 
+def at_places(df: DataFrame, by: Sequence[str], order: Sequence[str], places: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
+    """(columns of df, _name): for each named place the row that holds it in its group's order; places count from 0 and are
+    functions of the group's size. weight: a row stands for so many equal ones.
+
+    No group is sorted in one task: rows are dealt out in ranges of (group, order), each range's part of a group is
+    counted, and only the parts that hold a place are numbered.
+    """
+    own = F.col(weight) if weight else F.lit(1)
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "_part").agg(F.sum(own).alias("_rows"))
+    of_group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_rows").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spread = parts.withColumn("_from", before).withColumn("_n", F.sum("_rows").over(of_group))
+    named = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("bigint").alias("at")) for name, place in places.items()])
+    held = spread.withColumn("_held", F.filter(named, lambda x: (x["at"] >= F.col("_from")) & (x["at"] < F.col("_from") + F.col("_rows")))).where(F.size("_held") > 0)
+    held = held.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), "_from", "_held")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(f"_g{i}").eqNullSafe(F.col(c))
+    near = ranged.join(held, same)
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = near.withColumn("_end", F.col("_from") + F.sum(own).over(within))
+    hit = placed.withColumn("_hit", F.filter("_held", lambda x: (x["at"] < F.col("_end")) & (x["at"] >= F.col("_end") - own)))
+    return hit.where(F.size("_hit") > 0).select(*df.columns, F.explode("_hit.name").alias("_name"))
+
+
 def position_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], numerator: int, denominator: int) -> DataFrame:
     """The row at the 1-based position ceil(n * numerator / denominator) of each group."""
-    w = Window.partitionBy(*by)
-    placed = df.withColumn("_at", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_at") == F.ceil(F.col("_n") * numerator / denominator)).drop("_at", "_n")
+    return at_places(df, by, order, {"at": lambda n: F.ceil(n * numerator / denominator) - 1}).drop("_name")
 
 
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], same: str) -> DataFrame:
@@ -66,15 +92,19 @@ def wall_ms(ts: str) -> Column:
 
 def ewma(df: DataFrame, by: Sequence[str], order: Sequence[str], ts_ms: str, value: str, alpha: float, ttl_ms: float) -> DataFrame:
     """(by..., samples, ewma): exponentially weighted mean in the given total order; a first sample, or one more than
-    ttl_ms after the last, starts anew. One fold over each key's sorted array, inside the JVM."""
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(ts_ms).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
-    sorted_ = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("m"))
-    step = lambda s, x: F.struct(
-        x["t"].alias("t"),
-        F.when(s["t"].isNotNull() & (x["t"] >= s["t"]) & (x["t"] - s["t"] <= ttl_ms), (1 - alpha) * s["m"] + alpha * x["v"]).otherwise(x["v"]).alias("m"),
-    )
-    return sorted_.select(*by, F.size("items").cast("bigint").alias("samples"), F.aggregate("items", start, step, lambda s: s["m"]).alias("ewma"))
+    ttl_ms after the last, starts anew.
+
+    As a weighted sum over the samples since the last start, from the latest back: running frames of one sort that may spill,
+    and no array of a key's history.
+    """
+    back = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    at = F.col(ts_ms).cast("double")
+    earlier = F.lead(at).over(back)
+    starts = F.when((at >= earlier) & (at - earlier <= ttl_ms), 0).otherwise(1)
+    rows = df.select(*by, *[c for c in dict.fromkeys(order) if c not in by], at.alias("_t"), F.col(value).cast("double").alias("_v"), starts.alias("_start"), F.row_number().over(back).alias("_back"))
+    later = F.coalesce(F.sum("_start").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight = F.pow(F.lit(1 - alpha), F.col("_back") - 1) * F.when(F.col("_start") == 1, 1.0).otherwise(alpha)
+    return rows.withColumn("_later", later).groupBy(*by).agg(F.count("*").alias("samples"), F.sum(F.when(F.col("_later") == 0, weight * F.col("_v"))).alias("ewma"))
 
 
 def last_distinct(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, size: int) -> DataFrame:

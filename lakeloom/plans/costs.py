@@ -46,10 +46,12 @@ def online_delta(phases: DataFrame, own: DataFrame) -> DataFrame:
 def decide(accesses: DataFrame, estimates: DataFrame, local: int, config: CostConfig | None = None, states: DataFrame | None = None, deltas: DataFrame | None = None) -> DataFrame:
     """(txn, eligible, lazy_ms, twopc_ms, commit_delta_ms, twopc) of each transaction.
 
+    Accesses are dealt out by transaction once; pages, calls and writers are all counted there.
     A transaction with one writing node or none isn't eligible. Pages are costed once, with the write flag of any access;
     remote operations are costed one by one. Estimates are taken by page and kind, else by kind (table and page null), else the initial value.
     """
     config = config or CostConfig()
+    accesses = accesses.repartition("txn")
     pages = accesses.groupBy("txn", "table", "page").agg(F.bool_or("write").alias("write"), F.min("home").alias("home"))
     if states is not None:
         pages = pages.join(states, ["txn", "table", "page"], "left")
@@ -65,7 +67,7 @@ def decide(accesses: DataFrame, estimates: DataFrame, local: int, config: CostCo
     remote = estimates.where("kind in ('remote_read', 'remote_write')").select("kind", F.col("ms").alias("remote_ms"))
     calls = accesses.withColumn("kind", F.when(F.col("write"), "remote_write").otherwise("remote_read")).join(remote, "kind", "left")
     rpc = F.when(F.col("home") != local, F.coalesce("remote_ms", F.lit(config.rpc_rtt_ms))).otherwise(0.0)
-    per = calls.groupBy("txn").agg(F.sum(rpc).alias("calls_ms"), F.countDistinct(F.when(F.col("write"), F.col("home"))).alias("writers"))
+    per = calls.groupBy("txn").agg(F.sum(rpc).alias("calls_ms"), F.size(F.collect_set(F.when(F.col("write"), F.col("home")))).alias("writers"))
     out = per.join(lazy, "txn", "left").fillna(0.0, ["lazy_ms", "shared_ms"])
     if deltas is not None:
         out = out.join(deltas, "txn", "left")

@@ -86,3 +86,18 @@ def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.format(kind).save(path)
+
+
+# Numbers and names of the execution modes, and of the variants of two-phase commit.
+MODES = {0: "eager", 1: "lazy", 2: "2pc", 3: "single", 4: "mix"}
+VARIANTS = {0: "baseline", 1: "cornus", 2: "cornus_opt"}
+
+
+def with_mode(df: DataFrame, code: str, variant: str | None = None) -> DataFrame:
+    """df with `mode`, the name of its execution mode; two-phase modes (2pc, mix) carry their variant's name if it has a column."""
+    names = F.create_map(*[F.lit(x) for pair in MODES.items() for x in pair])
+    mode = names[F.col(code).cast("int")]
+    if variant:
+        kinds = F.create_map(*[F.lit(x) for pair in VARIANTS.items() for x in pair])
+        mode = F.when(mode.isin("2pc", "mix"), F.concat_ws("/", mode, kinds[F.col(variant).cast("int")])).otherwise(mode)
+    return df.withColumn("mode", mode)

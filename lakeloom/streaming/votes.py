@@ -14,34 +14,33 @@ def decisions(votes: DataFrame, ts: str = "ts", lateness: str = "10 seconds", ti
     """(txn, decision, voters) of a stream of (txn, node, participants, vote, ts): one row for each transaction.
 
     decision: commit (every participant voted yes), abort (a no), or timeout (the watermark passed its first vote by
-    timeout_ms). Repeated votes of a node count once; votes may come in any order.
+    timeout_ms, whatever came later). Repeated votes of a node count once; votes may come in any order.
     """
     rows = votes.withColumn("ts", F.col(ts).cast("timestamp")).withWatermark("ts", lateness).select("txn", "node", "participants", "vote", "ts")
     kind = votes.schema["txn"].dataType.simpleString()
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nodes, refused, done = (list(state.get[0]), *state.get[1:]) if state.exists else ([], False, False)
+        nodes, refused, done, need, first = (list(state.get[0]), *state.get[1:]) if state.exists else ([], False, False, 0, None)
         told = None
         if state.hasTimedOut:
             if not done:
                 told = "timeout"
             state.remove()
         else:
-            need = 0
-            first = None
             for part in parts:
                 nodes = sorted(set(nodes) | set(part["node"].tolist()))
                 refused = refused or not bool(part["vote"].all())
                 need = max(need, int(part["participants"].max()))
-                first = part["ts"].min() if first is None else min(first, part["ts"].min())
+                at = int(part["ts"].min().timestamp() * 1000)
+                first = at if first is None else min(first, at)
             if not done and (refused or len(nodes) >= need):
                 told, done = ("abort" if refused else "commit"), True
-            state.update(([int(n) for n in nodes], bool(refused), bool(done)))
-            state.setTimeoutTimestamp(max(int(first.timestamp() * 1000) + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            state.update(([int(n) for n in nodes], bool(refused), bool(done), int(need), int(first)))
+            state.setTimeoutTimestamp(max(first + timeout_ms, state.getCurrentWatermarkMs() + 1))
         if told:
             yield pd.DataFrame([[key[0], told, len(nodes)]], columns=["txn", "decision", "voters"])
 
-    return rows.groupBy("txn").applyInPandasWithState(decide, f"txn {kind}, decision string, voters int", "nodes array<int>, refused boolean, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("txn").applyInPandasWithState(decide, f"txn {kind}, decision string, voters int", "nodes array<int>, refused boolean, done boolean, need int, first bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def decided(votes: DataFrame) -> DataFrame:
