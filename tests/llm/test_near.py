@@ -52,22 +52,8 @@ def test_one_row_of_each_group_of_similar_texts_stays(spark):
     assert len(want) < len(wide)  # two bits of the fingerprints leave near copies
 
 
-def test_bucket_groups_are_exact():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 40).astype(np.uint64)
-    sets = []
-    for k in range(30):  # a chain: each is close to the next, the ends are not close to each other
-        other = base.copy()
-        other[: k + 1] = np.arange(k + 1)
-        sets.append(np.sort(other))
-    sets.append(np.sort(rng.integers(0, 2**63, 40).astype(np.uint64)))
-    assert sorted(near.linked(sets)) == [(k, 0) for k in range(1, 30)]
-
-
-@pytest.mark.parametrize(("hot", "block"), [(1, 4), (3, 256)])
-def test_hot_buckets_lose_no_link(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize("block", [4, 256])
+def test_buckets_lose_no_link(spark, monkeypatch, block):
     rng = random.Random(12)
     rows = [t for _, t in planted()]
     base = [f"h{i}" for i in range(120)]
@@ -83,5 +69,14 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch, hot, block):
     monkeypatch.setattr(near, "BLOCK", block)
     of = brute_components(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("mark", F.xxhash64("text"))
-    got = [r.key for r in near.firsts(df, key="doc_id", mark="mark", text="text", hot=hot).collect()]
+    got = [r.key for r in near.firsts(df, key="doc_id", mark="mark", text="text").collect()]
     assert sorted(got) == sorted(min(i for i, _ in rows if of[i] == c) for c in set(of))
+
+
+def test_equal_rows_and_rows_of_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x")] * 3 + [(1, b, "x"), (1, b, "y"), (2, a, "x"), (None, a, "x"), (None, a, "x"), (3, None, "x"), (4, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for bound in (corpus_pipeline.BROADCAST_ROWS, 0):
+        got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "", broadcast_rows=bound).collect()]
+        assert sorted((r[:2] for r in got if r[0]), key=str) == [(1, a), (1, b), (3, None)] and len(got) == 5
