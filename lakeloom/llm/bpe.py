@@ -30,6 +30,8 @@ NONE = np.int32((1 << 31) - 1)
 #: Pre-tokens of one generation in a worker's memory; beyond it a new one begins, which takes over what it meets again
 #: from the last one (speed only, results are the same).
 MEMO_WORDS = 180_000
+#: And characters of them, on average a word: long pre-tokens (texts without spaces) fill the memory sooner.
+MEMO_CHARS = 16
 
 
 class ByteBpe:
@@ -55,6 +57,7 @@ class ByteBpe:
         self.memo: dict[str, tuple[str, int, bytes]] = {}
         self.last: dict[str, tuple[str, int, bytes]] = {}
         self.limit = MEMO_WORDS
+        self.chars = 0
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -179,8 +182,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, words: Iterable[str]) -> None:
-        if len(self.memo) > self.limit:
-            self.memo, self.last = {}, self.memo
+        if len(self.memo) > self.limit or self.chars > self.limit * MEMO_CHARS:
+            self.memo, self.last, self.chars = {}, self.memo, 0
         memo, last, new, text = self.memo, self.last, [], self.text_of.__getitem__
         for w in words:
             if w not in memo:
@@ -191,6 +194,7 @@ class ByteBpe:
                     memo[w] = known
         for k in range(0, len(new), 200_000):
             part = new[k : k + 200_000]
+            self.chars += sum(map(len, part))
             for w, ids in zip(part, self.replay([w.encode() for w in part])):
                 self.memo[w] = (" ".join(map(text, ids)), len(ids), self.decode(ids))
 

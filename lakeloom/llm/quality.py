@@ -226,10 +226,10 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, rows: int =
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, held_out, score, predicted) of every row of docs."""
+    """(key, held_out, score, predicted) of every row of docs. Rows with a null key are not held out (they have no label either)."""
     stats = written(statistics(docs, key=key, text=text))
     model = fit(*labelled_sample(stats, labels, label, rows))
-    out = stats.select(F.col("key").alias(key), (F.crc32(F.col("key").cast("string")) % 5 == 0).alias("held_out"), score_column(model).alias("score"))
+    out = stats.select(F.col("key").alias(key), F.coalesce(F.crc32(F.col("key").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), score_column(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -161,17 +161,30 @@ def close_pairs(fps: DataFrame, *, node: str = "node", hot: int = HOT_SEGMENT) -
     return pairs.union(stars)
 
 
+#: A fingerprint with more than one row in so many is joined to its rows by a broadcast; there are fewer than this.
+CROWDED = 10_000
+
+
 def groups(prints: DataFrame, *, key: str = "doc_id", hot: int = HOT_SEGMENT) -> DataFrame:
     """(key, fp, component) of each (key, fp): component is the smallest key reachable over links, itself included.
 
     Equal fingerprints meet in one row first (a partial aggregation, so that thousands of copies cost no more than
-    one), links and components are those of distinct fingerprints. Null keys stay rows of their own group null.
+    one), links and components are those of distinct fingerprints. Rows that share a key but not their fingerprint are told apart:
+    each has the component of its own fingerprint. Null keys stay rows of their own group null.
     """
     prints = cut(prints.select(key, "fp"))
-    nodes = cut(prints.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("node")))
-    found = components(close_pairs(nodes, hot=hot))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(labels, "fp", "left").select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component")).alias("component"))
+    nodes = cut(prints.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")).withColumn("node", F.col("fp")))
+    found = cut(components(close_pairs(nodes.select("node", "fp"), hot=hot)))
+    smallest = found.join(nodes, "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    linked = found.join(smallest, "component").select("node", "smallest")
+    labels = cut(nodes.join(linked, "node", "left").select("fp", "copies", F.coalesce("smallest", "least").alias("component")))
+    total = labels.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    crowded = F.col("copies") * CROWDED > total
+    few = F.broadcast(labels.where(crowded).select("fp", F.col("component").alias("known"), F.lit(True).alias("crowded")))
+    told = prints.join(few, "fp", "left")
+    done = told.where("crowded").select(key, "fp", F.col("known").alias("component"))
+    rest = told.where("crowded is null").select(key, "fp").join(labels.where(~crowded).select("fp", "component"), "fp", "left")
+    return done.union(rest.select(key, "fp", "component")).select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,6 +25,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words kept in a worker's memory with their counts; beyond it the table starts anew (speed only).
 MEMO_WORDS = 400_000
+#: Longer words are counted each time they come, so that what is kept is bounded in bytes: in texts without spaces a word is a text.
+MEMO_CHARS = 64
 _WORD = regex.compile(f"{MARK}[^{MARK}]*|[^{MARK}]+")
 
 
@@ -79,7 +81,9 @@ class UnigramCounter:
         for w in _WORD.findall(marked):
             got = memo.get(w)
             if got is None:
-                got = memo[w] = self.word(w)
+                got = self.word(w)
+                if len(w) <= MEMO_CHARS:
+                    memo[w] = got
             tokens += got[0]
             total += got[1]
         return tokens, total

@@ -56,3 +56,13 @@ def test_table(spark, both):
     back = {r.doc_id: bytes(r.data) for r in bpe.decode(out, PATH, PATTERN).collect()}
     assert back == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert bpe.encode(df.where("doc_id > 99"), PATH, PATTERN).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "a b"), (5, "a b")], "doc_id bigint, text string")
+    assert len({r.ids_sha256 for r in bpe.encode(odd, PATH, PATTERN).collect()}) == 1 and bpe.encode(odd, PATH, PATTERN).count() == 4
+
+
+def test_long_pre_tokens_fill_the_memory_sooner(both):
+    own = bpe.ByteBpe(both[0].ranks, PATTERN)
+    own.limit = 10
+    for k in range(12):
+        own.encode("漢" * (100 + k))
+    assert len(own.memo) + len(own.last) <= 6 and own.encode("漢字" * 100) == both[1].encode_ordinary("漢字" * 100)

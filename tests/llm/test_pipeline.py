@@ -52,6 +52,16 @@ def test_each_stage_decides_and_keeps_columns(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == set(kept[4])
 
 
+def test_no_labels_no_benchmark_long_texts_and_maps(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, long, {"a": 1}), (2, GOOD, None), (3, GOOD, {}), (None, None, {"b": 2})], "doc_id bigint, text string, extra map<string,int>")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in docs.collect()) == [(0, 0), (1, len(long)), (2, len(GOOD))]
+
+
 def test_empty_tables(spark, tmp_path):
     sf_dir, _ = world(spark, tmp_path)
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 9999")

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import quality
 from lakeloom.llm._text import slices
@@ -54,6 +55,8 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert sum(a == b for a, b in out) / len(out) > 0.9
     odd = spark.createDataFrame([(1, None, "k"), (1, "", "k"), (None, "text", "k")], "doc_id bigint, text string, kept string").selectExpr("*", "'x' key", "0 score", "1 predicted")
     marks = spark.createDataFrame([(1, None), (2, 1), (None, 0), (2, 0), (2, 1)], "doc_id bigint, quality int")
-    assert [r.score for r in quality.classify(odd, marks).collect()] == [0.5] * 3
+    assert [(r.score, r.held_out) for r in quality.classify(odd, marks).orderBy(F.col("doc_id").isNull()).collect()] == [(0.5, zlib.crc32(b"1") % 5 == 0)] * 2 + [(0.5, False)]
+    long = spark.createDataFrame([(1, "many words in a line. " * 60_000), (2, "x" * 1_500_000), (3, "short")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in quality.classify(long, labels).collect()) == [1, 2, 3]
     assert quality.keep(odd, marks).columns == odd.columns and quality.keep(odd, marks).count() == 3
     assert quality.classify(odd.where("doc_id > 5"), marks).count() == 0

@@ -65,3 +65,14 @@ def test_nulls_empties_ties_and_extra_columns(spark):
     assert got[1] == got[2] == got[5] == ("0" * 16, 1)
     assert got[3] == got[4] and got[3][1] == 3
     assert simhash.near_duplicates(df.where("doc_id > 9")).count() == 0
+
+
+def test_rows_of_one_id_are_told_apart_and_null_ids_have_no_group(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (7, a), (8, b), (9, b), (None, a), (None, b), (2, "c"), (2, "c")]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, 0), (0, 0), (2, 2), (2, 2), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5)]
+    # 3 is a copy of 1, and 1 is also the id of another text, which 2 copies: neither group joins the other
+    rows = [(1, a), (3, a), (2, b), (4, b), (4, "z")]
+    out = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {(1, 1), (3, 1), (2, 2), (4, 2), (4, 4)}

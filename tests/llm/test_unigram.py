@@ -33,3 +33,13 @@ def test_counts_equal_the_librarys_on_the_whole_vocabulary(spark):
     got = {r.doc_id: r.n_tokens for r in unigram.count(df, PATH).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert unigram.count(df.where("doc_id < 0"), PATH).count() == 0
+
+
+def test_repeated_rows_null_ids_and_texts_without_spaces(spark):
+    texts = ["漢字" * 4000, "漢字" * 4000, "漢 字", None]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(7, texts[2])] * 2, "doc_id bigint, text string")
+    want = [len(library(unigram.sentencepiece_pieces(PATH)).encode(t or "").ids) for t in (*texts, texts[2], texts[2])]
+    assert sorted(r.n_tokens for r in unigram.count(df, PATH).collect()) == sorted(want)
+    counter = unigram.UnigramCounter([("a", -1.0), ("b", -1.0)])
+    counter.text("a" * 500 + " b")
+    assert list(counter.memo) == ["▁b"]
