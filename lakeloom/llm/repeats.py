@@ -14,12 +14,12 @@ Suffixes are brought together without shuffling the text:
 2. Left are the distinct stretches whose anchor has several contents: edges of edits and chance repeats. Their bytes
    are fetched, and in buckets of whole anchors their windows are put in suffix order; the previous and the next smaller position
    of each decide whether its longest previous factor has LENGTH bytes. Anchors with more than HOT contents (a common line
-   before ever different text) go to no bucket: the first place of each of their windows is found by an aggregation over
+   before ever different text) go to no bucket: the first place of each of their windows is found by
    digests of windows, in two steps so that no task gets all copies of one window, and all other places are repeats.
 3. Each document gets its repeated stretches, and the rest of its bytes is kept.
 
 Nothing is sampled, and no bucket grows with the commonest text: copies of stretches meet in step 1 as descriptions of fixed size
-that are streamed in sorted order, those of windows in step 2 as partial minima. Suffix order is kept to step 2 because it needs
+that are streamed in sorted order, those of windows in step 2 in parts. Suffix order is kept to step 2 because it needs
 the text itself: step 1 hands on one stretch of each content, whose copies have the same factors. Hashes of step 1 and
 digests of windows have 128 bits; the buckets of step 2 compare bytes.
 
@@ -35,7 +35,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm._durable import written
@@ -181,9 +181,9 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.int64()), pa.array(a, pa.int64(), mask=whole.astype(bool))], ["doc", "sub", "pos", "m"])
 
 
-def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int, hot: bool) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, doc, sub, start, data) from (doc, sub, text, asked: list of pos, anchor, whether it is crowded): bytes of
-    stretches, or (bucket -1) digests of all their windows."""
+    stretches, or of those of crowded anchors the digests of all their windows."""
     for batch in batches:
         data, offs = buffers(batch.column(2))
         out: list[tuple] = []
@@ -191,10 +191,12 @@ def _fetch(batches: Iterable[pa.RecordBatch], buckets: int, length: int) -> Iter
         for i, asked in enumerate(batch.column(3).to_pylist()):
             text = data[offs[i] : offs[i + 1]]
             for one in asked or ():
+                if one["hot"] != hot:
+                    continue
                 start, extra = divmod(one["pos"], 256)
                 piece = text[start : start + length + extra].tobytes()
-                if one["hot"]:
-                    out += [(-1, docs[i], subs[i], start + k, hashlib.blake2b(piece[k : k + length], digest_size=16).digest()) for k in range(extra + 1)]
+                if hot:
+                    out += [(0, docs[i], subs[i], start + k, hashlib.blake2b(piece[k : k + length], digest_size=16).digest()) for k in range(extra + 1)]
                 else:
                     out.append(((one["m"] & _LAST) % buckets, docs[i], subs[i], start, piece))
             if len(out) > 20_000 or i == len(docs) - 1:
@@ -352,11 +354,17 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return told.select(F.coalesce("id", F.lit(_LAST)).alias("doc"), F.when(F.col("id").isNull(), mark - (1 << 62) - 1).when(F.col("twice"), mark).otherwise(F.lit(0)).cast("bigint").alias("sub"), "text")
 
 
-def first_places(windows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(doc, sub, start) of the first of equal windows (data: their digest); copies meet as minima of `salts` parts."""
+def later_places(windows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(doc, sub, start) of all but the first of equal windows (data: their digest).
+
+    Copies are dealt out in `salts` parts; the first of each part, at most so many, then meet.
+    """
     place = F.struct("doc", "sub", "start")
-    parts = windows.groupBy("data", F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")).agg(F.min(place).alias("first"))
-    return parts.groupBy("data").agg(F.min("first").alias("first")).select("first.*")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(salts))
+    placed = windows.withColumn("salt", salt).withColumn("first", F.min(place).over(Window.partitionBy("data", "salt")))
+    later = placed.where(place != F.col("first")).select("doc", "sub", "start")
+    leads = placed.where(place == F.col("first")).groupBy("data").agg(F.collect_set("first").alias("all"))
+    return later.union(leads.select(F.explode(F.filter("all", lambda x: x != F.array_min("all"))).alias("x")).select("x.*"))
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, with_text: bool = True) -> DataFrame:
@@ -379,15 +387,16 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     else:
         ask = ask.withColumn("hot", F.lit(False))
     asked = ask.groupBy("doc", "sub").agg(F.collect_set(F.struct("pos", "m", "hot")).alias("asked"))
-    pieces = rows.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked").mapInArrow(lambda it: _fetch(it, buckets, length), "bucket bigint, doc bigint, sub bigint, start bigint, data binary")
+    met = rows.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked")
+
+    def fetched(of: DataFrame, hot: bool) -> DataFrame:
+        return of.mapInArrow(lambda it: _fetch(it, buckets, length, hot), "bucket bigint, doc bigint, sub bigint, start bigint, data binary")
+
     spans = found.where("m is null").select("doc", "sub", "pos")
     if n_crowded:
-        pieces = written(pieces)
-        windows = pieces.where("bucket < 0").select("doc", "sub", "start", "data")
-        # by place, which is unique, and not by content: a balanced join
-        spans = spans.union(windows.select("doc", "sub", "start").join(first_places(windows), ["doc", "sub", "start"], "left_anti").select("doc", "sub", F.expr("start * 256")))
-        pieces = pieces.where("bucket >= 0")
-    spans = spans.union(pieces.groupBy("bucket").applyInArrow(lambda t: _factors(t, length), "doc bigint, sub bigint, pos bigint"))
+        windows = fetched(met.where(F.exists("asked", lambda x: x["hot"])), True).select("doc", "sub", "start", "data")
+        spans = spans.union(later_places(windows).select("doc", "sub", F.expr("start * 256")))
+    spans = spans.union(fetched(met, False).groupBy("bucket").applyInArrow(lambda t: _factors(t, length), "doc bigint, sub bigint, pos bigint"))
     spans = spans.groupBy("doc", "sub").agg(F.collect_set("pos").alias("spans"))
     schema = "doc bigint, sub bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, starts array<bigint>, stops array<bigint>" if with_text else "")
     cut = rows.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).alias("spans")).mapInArrow(lambda it: _cut(it, length, with_text), schema)

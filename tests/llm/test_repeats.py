@@ -69,7 +69,7 @@ def test_a_common_line_before_unique_text_goes_to_no_bucket(spark, monkeypatch):
     rows = [(i, line + "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     met = []
-    monkeypatch.setattr(repeats, "first_places", lambda w, real=repeats.first_places: met.append(w) or real(w))
+    monkeypatch.setattr(repeats, "later_places", lambda w, real=repeats.later_places: met.append(w) or real(w))
     got = {r.doc_id: r.n_removed for r in repeats.remove(df, hot=50, with_text=False).collect()}
     assert got == {k: v[1] for k, v in brute(rows).items()}
     (windows,) = met
