@@ -46,29 +46,32 @@ def online_delta(phases: DataFrame, own: DataFrame) -> DataFrame:
 def decide(accesses: DataFrame, estimates: DataFrame, local: int, config: CostConfig | None = None, states: DataFrame | None = None, deltas: DataFrame | None = None) -> DataFrame:
     """(txn, eligible, lazy_ms, twopc_ms, commit_delta_ms, twopc) of each transaction.
 
-    Accesses are dealt out by transaction once; pages, calls and writers are all counted there.
+    Accesses are dealt out by transaction once, and counted by page and then by transaction there; estimates by kind are
+    a few rows and are broadcast, whether those by page are is left to their size.
     A transaction with one writing node or none isn't eligible. Pages are costed once, with the write flag of any access;
     remote operations are costed one by one. Estimates are taken by page and kind, else by kind (table and page null), else the initial value.
     """
     config = config or CostConfig()
-    accesses = accesses.repartition("txn")
-    pages = accesses.groupBy("txn", "table", "page").agg(F.bool_or("write").alias("write"), F.min("home").alias("home"))
+
+    def by_kind(kinds: tuple[str, ...], name: str) -> DataFrame:
+        return F.broadcast(estimates.where(F.col("kind").isin(*kinds) & F.col("page").isNull()).groupBy("kind").agg(F.first("ms").alias(name)))
+
+    calls = accesses.repartition("txn").withColumn("kind", F.when(F.col("write"), "remote_write").otherwise("remote_read")).join(by_kind(("remote_read", "remote_write"), "remote_ms"), "kind", "left")
+    rpc = F.when(F.col("home") != local, F.coalesce("remote_ms", F.lit(config.rpc_rtt_ms))).otherwise(0.0)
+    writer = F.collect_set(F.when(F.col("write"), F.col("home")))
+    pages = calls.groupBy("txn", "table", "page").agg(F.sum(rpc).alias("calls_ms"), writer.alias("writers"), F.bool_or("write").alias("write"), F.min("home").alias("home"))
     if states is not None:
         pages = pages.join(states, ["txn", "table", "page"], "left")
     else:
         pages = pages.withColumn("usable", F.lit(False)).withColumn("upgrade", F.lit(False))
-    pages = pages.where(~F.coalesce("usable", F.lit(False)))
     kind = F.when(F.coalesce("upgrade", F.lit(False)), "upgrade").when(F.col("write"), "write").otherwise("read")
     by_page = estimates.where("page is not null").select("table", "page", "kind", F.col("ms").alias("page_ms"))
-    by_kind = estimates.where("page is null and kind in ('read', 'write', 'upgrade')").select("kind", F.col("ms").alias("kind_ms"))
-    costed = pages.withColumn("kind", kind).join(by_page, ["table", "page", "kind"], "left").join(by_kind, "kind", "left")
-    ms = F.coalesce("page_ms", "kind_ms", F.lit(config.initial_page_ms))
-    lazy = costed.groupBy("txn").agg(F.sum(ms).alias("lazy_ms"), F.sum(F.when(F.col("home") == local, ms).otherwise(0.0)).alias("shared_ms"))
-    remote = estimates.where("kind in ('remote_read', 'remote_write')").select("kind", F.col("ms").alias("remote_ms"))
-    calls = accesses.withColumn("kind", F.when(F.col("write"), "remote_write").otherwise("remote_read")).join(remote, "kind", "left")
-    rpc = F.when(F.col("home") != local, F.coalesce("remote_ms", F.lit(config.rpc_rtt_ms))).otherwise(0.0)
-    per = calls.groupBy("txn").agg(F.sum(rpc).alias("calls_ms"), F.size(F.collect_set(F.when(F.col("write"), F.col("home")))).alias("writers"))
-    out = per.join(lazy, "txn", "left").fillna(0.0, ["lazy_ms", "shared_ms"])
+    costed = pages.withColumn("kind", kind).join(by_page, ["table", "page", "kind"], "left").join(by_kind(("read", "write", "upgrade"), "kind_ms"), "kind", "left")
+    ms = F.when(F.coalesce("usable", F.lit(False)), 0.0).otherwise(F.coalesce("page_ms", "kind_ms", F.lit(config.initial_page_ms)))
+    out = costed.groupBy("txn").agg(
+        F.sum(ms).alias("lazy_ms"), F.sum(F.when(F.col("home") == local, ms).otherwise(0.0)).alias("shared_ms"), F.sum("calls_ms").alias("calls_ms"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("writers")))).alias("writers"),
+    )
     if deltas is not None:
         out = out.join(deltas, "txn", "left")
     else:

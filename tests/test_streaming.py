@@ -160,6 +160,14 @@ def test_votes(spark, tmp_path):
     assert done == {1: "commit", 2: "abort", 3: "timeout"}
 
 
+def test_later_votes_do_not_put_off_the_timeout(spark, tmp_path):
+    vote = lambda txn, node, at: (txn, node, 5, True, f"2024-01-01 00:00:{at:02d}")
+    batches = [[vote(1, 0, 1)], [vote(1, 1, 9), vote(2, 0, 40)], [vote(2, 1, 41)], [vote(3, 0, 42)]]
+    df = votes.decisions(stream(spark, tmp_path, batches, "txn int, node int, participants int, vote boolean, ts string"), lateness="25 seconds", timeout_ms=10_000)
+    # the watermark is at 15 s after the second batch: past 1 + 10, not past 9 + 10
+    assert [(r.txn, r.decision, r.voters) for r in drain(df, "put_off", "append", tmp_path)] == [(1, "timeout", 2)]
+
+
 def test_replay_is_idempotent_and_ordered_by_log_number(spark, tmp_path):
     rng = random.Random(4)
     log = [(rng.randrange(6), lsn, rng.choice(["insert", "update", "update", "delete"]), rng.random()) for lsn in range(80)]
@@ -172,3 +180,6 @@ def test_replay_is_idempotent_and_ordered_by_log_number(spark, tmp_path):
     assert sorted(map(tuple, table.rows().collect())) == want
     table.apply(spark.createDataFrame(mixed[60:], schema), 2)
     assert sorted(map(tuple, table.rows().collect())) == want
+    table.apply(spark.createDataFrame([(99, 1000, "insert", 0.5)], schema), 3)
+    assert {p.name for p in (tmp_path / "table" / "v3").iterdir() if p.name.startswith("_b")} == {f"_b-{b}" for b in {table._held and max(k for k, v in table._held().items() if v[-1] == 3)}}
+    assert sorted(map(tuple, table.rows().collect())) == sorted([*want, (99, 1000, "insert", 0.5)])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import formatting, rules
+from lakeloom.operators import aggregates, windows
 from lakeloom.operators import relational as R
 from lakeloom.operators import waits
 from lakeloom.plans import costs, workloads
@@ -154,3 +155,71 @@ def test_cycles_of_any_length_are_found(spark):
     want = {i: 40 for i in range(40)} | {200: 2, 201: 2}
     assert {r.txn: r.cycle_length for r in waits.deadlock_cycles(edges).collect()} == want
     assert {r.txn for r in waits.deadlock_cycles(edges, 16).collect()} == {200, 201}
+
+
+def test_generated_rows_have_all_their_columns(shop):
+    want = {
+        "warehouse": "w_id w_name w_street_1 w_street_2 w_city w_state w_zip w_tax w_ytd", "history": "h_c_id h_c_d_id h_c_w_id h_d_id h_w_id h_date h_amount h_data",
+        "orders": "o_w_id o_d_id o_id o_c_id o_carrier_id o_ol_cnt o_all_local o_entry_d", "item": "i_id i_name i_price i_im_id i_data",
+    }
+    for name, columns in want.items():
+        assert set(shop[name].columns) == set(columns.split())
+    assert {f"s_dist_{k:02d}" for k in range(1, 11)} | {"s_data"} <= set(shop["stock"].columns)
+    assert {"c_middle", "c_phone", "c_since", "c_credit_lim", "c_zip"} <= set(shop["customer"].columns)
+    marked = shop["stock"].where("s_data like '%ORIGINAL%'").count()
+    assert 100 < marked < 320 and shop["stock"].where("length(s_data) > 64").count() == 0
+    assert shop["customer"].where("length(c_phone) <> 16 or c_zip not like '____11111'").count() == 0
+
+
+def test_key_value_rows_hot_sets_locality_and_writers(spark):
+    rows = generators.key_value(spark, 30)
+    assert rows.count() == 30 and len(rows.columns) == 11 and rows.where("length(file_3) <> 100").count() == 0
+    ops = generators.key_value_operations(spark, 400, rows=1000, size=5, hot_keys=10, hot_percent=70, nodes=4, writers=2).cache()
+    assert 0.6 < ops.where("item_key < 10").count() / 2000 < 0.8 and ops.where("is_write").count() == 800 and ops.where("is_write").agg(F.max("op_seq")).first()[0] == 1
+    assert sorted(r.node for r in ops.select("node").distinct().collect()) == [0, 1, 2, 3]
+    near = generators.key_value_operations(spark, 200, rows=1000, size=5, nodes=4, local_percent=100)
+    assert near.where("floor(item_key / 250) <> node").count() == 0
+
+
+def test_bank_operations_have_their_shares(spark):
+    ops = generators.bank_operations(spark, 4000, accounts=500, hot_accounts=5, hot_percent=50).cache()
+    by = {r.kind: r["count"] for r in ops.groupBy("kind").count().collect()}
+    assert set(by) == set(generators.BANK_MIX) and all(abs(by[k] - 40 * share) < 120 for k, share in generators.BANK_MIX.items())
+    assert ops.where("source = target or source >= 500 or target >= 500").count() == 0
+    assert 0.4 < ops.where("source < 5").count() / 4000 < 0.6
+
+
+def test_places_in_groups_with_nulls_ties_and_odd_sizes(spark):
+    rows = [(g, v) for g in (None, "a", "b") for v in ([None, 3, 3, 3, 1, 9] if g else [7])]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r.g: (r.low, r.mid, r.top) for r in aggregates.index_pick(df, ["g"], "v", {"low": (0, 1), "mid": (1, 2), "top": (99, 100)}).collect()}
+    assert got == {None: (7, 7, 7), "a": (None, 3, 9), "b": (None, 3, 9)}  # nulls first
+    big = spark.range(5000).selectExpr("id % 3 g", "id v").repartition(7)
+    assert sorted((r.g, r.v) for r in windows.position_in_group(big, ["g"], ["v"], 1, 2).collect()) == [(0, 2499), (1, 2500), (2, 2498)]
+    assert aggregates.index_pick(df.where("v > 99"), ["g"], "v", {"mid": (1, 2)}).count() == 0
+
+
+def test_a_cost_choice_deals_accesses_out_once(spark):
+    access = spark.createDataFrame([(1, 0, 1, True, 0)], "txn int, table int, page int, write boolean, home int")
+    known = F.broadcast(spark.createDataFrame([(None, None, "write", 3.0)], "table int, page int, kind string, ms double"))
+    plan = costs.decide(access, known, 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(txn") == 1 and "hashpartitioning(kind" not in plan.split("BroadcastExchange")[0]
+
+
+def test_shared_folder_must_be_named_outside_local_mode():
+    from lakeloom import lineage
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()
+
+    with pytest.raises(ValueError):
+        lineage.shared_dir(Fake)
