@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +30,8 @@ def cell(c: Column) -> Column:
     return F.lpad(F.when(F.length(c) > CELL, F.concat(F.substring(c, 1, CELL - 3), F.lit("..."))).otherwise(c), CELL, " ")
 
 
-def table_text(names: Sequence[str], rows: Sequence[Sequence[object]]) -> str:
-    """A printed result: ruled columns of 16, and the number of records."""
+def table_lines(names: Sequence[str], rows: Iterable[Sequence[object]]) -> Iterator[str]:
+    """Lines of a printed result: ruled columns of 16, and the number of records; one row is held at a time."""
 
     def text(v: object) -> str:
         s = f"{v:.6f}" if isinstance(v, float) else str(v)
@@ -39,4 +39,9 @@ def table_text(names: Sequence[str], rows: Sequence[Sequence[object]]) -> str:
 
     rule = "+" + "+".join("-" * (CELL + 2) for _ in names) + "+"
     line = lambda values: "|" + "|".join(f" {text(v)} " for v in values) + "|"
-    return "\n".join([rule, line(names), rule, *map(line, rows), rule, f"Total record(s): {len(rows)}", ""])
+    yield from (rule, line(names), rule)
+    n = 0
+    for row in rows:
+        n += 1
+        yield line(row)
+    yield from (rule, f"Total record(s): {n}", "")

@@ -125,8 +125,9 @@ def key_value_operations(
 BANK_MIX = {"amalgamate": 20, "balance": 5, "deposit_checking": 15, "send_payment": 20, "transact_saving": 20, "write_check": 20}
 
 
-def bank_operations(spark: SparkSession, transactions: int, accounts: int = 300_000, mix: dict[str, int] | None = None, hot_accounts: int = 0, hot_percent: int = 0, seed: int = 17) -> DataFrame:
-    """(txn_id, kind, source, target, amount): kinds by their shares; source and target differ, hot_percent of both among the first accounts."""
+def bank_operations(spark: SparkSession, transactions: int, accounts: int = 300_000, mix: dict[str, int] | None = None, hot_accounts: int = 0, hot_percent: int = 0, size: int = 1, seed: int = 17) -> DataFrame:
+    """(txn_id, op_seq, kind, source, target, amount): kinds by their shares; source and target differ, hot_percent of both among the
+    first accounts. size: operations of a transaction, all of its kind (a long transaction has several)."""
     mix, left, kind = mix or BANK_MIX, 0.0, None
     draw, total = _draw(seed, "txn_id"), sum((mix or BANK_MIX).values())
     for name, share in mix.items():
@@ -135,12 +136,13 @@ def bank_operations(spark: SparkSession, transactions: int, accounts: int = 300_
     kind = kind.otherwise(name)
 
     def account(salt: int) -> Column:
-        wide = _pick(salt, 0, accounts - 1, "txn_id")
-        return F.when(_draw(salt + 1, "txn_id") * 100 < hot_percent, _pick(salt, 0, hot_accounts - 1, "txn_id")).otherwise(wide) if hot_accounts else wide
+        wide = _pick(salt, 0, accounts - 1, *at)
+        return F.when(_draw(salt + 1, *at) * 100 < hot_percent, _pick(salt, 0, hot_accounts - 1, *at)).otherwise(wide) if hot_accounts else wide
 
-    ops = spark.range(transactions).select(F.col("id").alias("txn_id")).select("txn_id", kind.alias("kind"), account(seed + 1).alias("source"), account(seed + 3).alias("_t"), _pick(seed + 5, 1, 100, "txn_id").cast("int").alias("amount"))
+    at = ("txn_id", "op_seq")
+    ops = _grid(spark, {"txn_id": transactions, "op_seq": size}).select(*at, kind.alias("kind"), account(seed + 1).alias("source"), account(seed + 3).alias("_t"), _pick(seed + 5, 1, 100, *at).cast("int").alias("amount"))
     target = F.when(F.col("_t") == F.col("source"), (F.col("source") + 1) % accounts).otherwise(F.col("_t"))
-    return ops.select("txn_id", "kind", "source", target.cast("bigint").alias("target"), "amount")
+    return ops.select(*at, "kind", "source", target.cast("bigint").alias("target"), "amount")
 
 
 def verified(children: DataFrame, parents: DataFrame, child_key: list[str], parent_key: list[str]) -> DataFrame:

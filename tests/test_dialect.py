@@ -98,6 +98,8 @@ def test_joins(engine):
     run(engine, *[f"insert into boat values ({i}, '{n}', '{h}');" for i, n, h in boats], *[f"insert into trip values ('{d}', {i}, {m});" for d, i, m in trips])
     assert len(rows(engine, "select * from boat, trip")) == len(boats) * len(trips)
     assert rows(engine, "select no, name, day, miles from boat, trip where boat.no = trip.boat_no") == sorted((i, n, d, m) for i, n, _ in boats for d, b, m in trips if b == i)
+    for one, two in (("boat.no = trip.boat_no", "trip.boat_no = boat.no"), ("no < boat_no", "boat_no > no"), ("no >= boat_no", "boat_no <= no")):  # sides may be swapped
+        assert rows(engine, f"select no, day from boat, trip where {one}") == rows(engine, f"select no, day from boat, trip where {two}")
     assert len(rows(engine, "select no from boat join trip where no < boat_no and miles >= 5.0")) == sum(i < b and m >= 5 for i, _, _ in boats for _, b, m in trips)
     with pytest.raises(errors.UnsupportedOperation):
         engine.session().sql("select no from boat, trip, other")

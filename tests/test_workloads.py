@@ -48,6 +48,8 @@ def test_payment_delivery_status_and_stock_level(spark, shop):
     note = lambda d, a: f"({bad.c_id}, {bad.c_d_id}, {bad.c_w_id}, {d}, 0, {a:.2f})\n"
     assert after.c_data == (note(3, 2.25) + note(2, 12.5) + bad.c_data)[:500]
     assert out["warehouse"].where("w_id = 0").first().w_ytd == 300014.75 and out["history"].count() == 2
+    names = {("w", r.w_id): r.w_name for r in shop["warehouse"].collect()} | {("d", r.d_w_id, r.d_id): r.d_name for r in shop["district"].collect()}
+    assert {r.h_data for r in out["history"].collect()} == {f"{names['w', 0]}    {names['d', 0, d]}" for d in (2, 3)}
     sent = workloads.delivery(shop["new_orders"], shop["orders"], shop["order_line"], shop["customer"], 7)
     assert sent["new_orders"].count() == shop["new_orders"].count() - 10
     assert sent["orders"].where("o_id = 21 and o_carrier_id = 7").count() == 10
@@ -187,6 +189,8 @@ def test_bank_operations_have_their_shares(spark):
     assert set(by) == set(generators.BANK_MIX) and all(abs(by[k] - 40 * share) < 120 for k, share in generators.BANK_MIX.items())
     assert ops.where("source = target or source >= 500 or target >= 500").count() == 0
     assert 0.4 < ops.where("source < 5").count() / 4000 < 0.6
+    long = generators.bank_operations(spark, 50, accounts=500, size=8)
+    assert long.count() == 400 and long.groupBy("txn_id").agg(F.countDistinct("kind").alias("k")).where("k <> 1").count() == 0
 
 
 def test_places_in_groups_with_nulls_ties_and_odd_sizes(spark):
