@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm._durable import written
-from lakeloom.llm._text import U64, buffers, mix64, slices
+from lakeloom.llm._text import U64, buffers, give_back, mix64, slices
 
 LENGTH = 100
 GRAM = 32
@@ -97,15 +97,18 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple
     return anchor, content, text[first], start - offs[text[first]], stop - start
 
 
+#: Bytes of text whose stretches are described at once; of longer texts, the parts.
+PIECE, RUN = 1 << 19, 4 << 20
+
+
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, row of each text, its place in the row): runs of whole texts, longer ones in overlapping parts."""
-    limit = 1 << 19
-    for i, j, data, offs in slices(column, limit):
-        if len(data) <= limit + length:
+    for i, j, data, offs in slices(column, PIECE):
+        if len(data) <= PIECE + length:
             yield data, offs, np.arange(i, j), np.zeros(j - i, np.int64)
         else:
-            for begin in range(0, len(data), limit):
-                part = data[begin : begin + limit + length - 1]
+            for begin in range(0, len(data), PIECE):
+                part = data[begin : begin + PIECE + length - 1]
                 yield part, np.array([0, len(part)]), np.array([i]), np.array([begin])
 
 
@@ -113,25 +116,32 @@ def _describe(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     """Rows (m, s, doc, sub, pos, again): pos is start * 256 + bytes beyond LENGTH; again: known here to be repeated."""
     for batch in batches:
         docs, subs = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), dtype=np.int64) for k in (0, 1))
-        found = []
+        found, held = [], 0
         for data, offs, row, begin in _pieces(batch.column(2), length):
             m, s, text, start, size = stretches(data, offs, length)
             found.append((m, s, row[text], (start + begin[text]) * 256 + (size - length)))
-        if not found:
-            continue
-        m, s, row, pos = (np.concatenate(x) for x in zip(*found))
-        doc, sub = docs[row], subs[row]
-        order = np.lexsort((pos, sub, doc, s, m))
-        m, s, doc, sub, pos = m[order], s[order], doc[order], sub[order], pos[order]
-        again = np.zeros(len(m), dtype=bool)
-        again[1:] = (m[1:] == m[:-1]) & (s[1:] == s[:-1])
-        if again.any():
-            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(m))))
-            again &= (doc != doc[head]) | (sub != sub[head]) | (pos != pos[head])
-            m, s = np.where(again, U64(0), m), np.where(again, U64(0), s)
-        for k in range(0, len(m), 200_000):
-            cut = slice(k, k + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(m[cut].view(np.int64)), pa.array(s[cut].view(np.int64)), pa.array(doc[cut]), pa.array(sub[cut]), pa.array(pos[cut]), pa.array(again[cut])], ["m", "s", "doc", "sub", "pos", "again"])
+            held += len(data)
+            if held >= RUN:
+                yield from _described(found, docs, subs)
+                found, held = [], 0
+        if found:
+            yield from _described(found, docs, subs)
+
+
+def _described(found: list[tuple[np.ndarray, ...]], docs: np.ndarray, subs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    m, s, row, pos = (np.concatenate(x) for x in zip(*found))
+    doc, sub = docs[row], subs[row]
+    order = np.lexsort((pos, sub, doc, s, m))
+    m, s, doc, sub, pos = m[order], s[order], doc[order], sub[order], pos[order]
+    again = np.zeros(len(m), dtype=bool)
+    again[1:] = (m[1:] == m[:-1]) & (s[1:] == s[:-1])
+    if again.any():
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(m))))
+        again &= (doc != doc[head]) | (sub != sub[head]) | (pos != pos[head])
+        m, s = np.where(again, U64(0), m), np.where(again, U64(0), s)
+    for k in range(0, len(m), 100_000):
+        cut = slice(k, k + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(m[cut].view(np.int64)), pa.array(s[cut].view(np.int64)), pa.array(doc[cut]), pa.array(sub[cut]), pa.array(pos[cut]), pa.array(again[cut])], ["m", "s", "doc", "sub", "pos", "again"])
 
 
 def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +306,7 @@ def _factors(group: pa.Table, length: int) -> pa.Table:
     a = np.flatnonzero(begin)
     b = np.concatenate([a[1:], [len(hit)]]) - 1 if len(a) else a
     pos = (start[row[a]] + at[a] - offs[row[a]]) * 256 + (at[b] - at[a])
+    give_back()
     return pa.table({"doc": pa.array(doc[row[a]], pa.int64()), "sub": pa.array(sub[row[a]], pa.int64()), "pos": pa.array(pos, pa.int64())})
 
 
