@@ -31,8 +31,9 @@ from lakeloom.llm._durable import written
 
 SAMPLE_ROWS = 40_000
 LIST_ROWS = 250
-#: The centroids' graph is broadcast: at most this many, whatever the table's size, and no more than half of the sample.
-MAX_LISTS = 16_384
+#: The centroids' graph is broadcast: at most this many, whatever the table's size, no more than half of the sample, and
+#: no more than so many bytes of centroids hold.
+MAX_LISTS, CENTROID_BYTES = 16_384, 64 << 20
 #: Lists a row may lie in, and how much further than its nearest list; a list is skipped if one already taken is nearer
 #: to it than NEAR_LIST times the row's own distance.
 REPLICAS, REPLICA_RATIO, NEAR_LIST = 4, 1.2, 0.35
@@ -297,7 +298,7 @@ def neighbours(
         return got["id"].to_numpy(), _vectors(got["e"].combine_chunks()) if got.num_rows else np.zeros((0, length))
 
     _, x = some(rows, n, sample_rows, 1)
-    lists = int(min(max_lists, max(1, n // LIST_ROWS), max(1, len(x) // 2)))
+    lists = int(max(1, min(max_lists, n // LIST_ROWS, len(x) // 2, CENTROID_BYTES // (8 * (length + 1)))))
     graph = CentroidGraph.build(balanced_centroids(_lift(x / peak, top), lists)) if len(x) else CentroidGraph.build(np.zeros((1, length + 1)))
     held = spark.sparkContext.broadcast(graph)
 
