@@ -12,7 +12,7 @@ Items are a query set held in memory in blocks of bounded size, one after the ot
 block each block's results are written before the next one is made. Documents are never shuffled.
 
 A radius of a third of the bits leaves blocks of two or three bits, by which nearly all items of a size are looked up; blocks long
-enough to select would need a radius that loses items. The whole distance is what selects (one unrelated item in 160 lies
+enough to select would need a radius that loses items. The whole distance is what selects (one unrelated item in 119 lies
 within RADIUS), and the shared shingle decides for which windows it is taken.
 
 Defined results: null texts are empty; an item without words, or without id, matches nothing; rows of one id, repeated ones and all
