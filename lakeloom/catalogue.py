@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import formatting, keys, rules
@@ -119,8 +119,8 @@ def lookup_flagged(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, CAST(row_number() OVER (ORDER BY n_name DESC) AS INT) AS place FROM nation")
 def order_by_desc(spark, sf_dir):
-    rows = R.ordered(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", descending=True)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_name"))))
+    rows = W.numbered(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.desc("n_name"))
+    return R.ordered(rows.withColumn("place", F.col("place").cast("int")), "n_name", descending=True)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -53,6 +53,17 @@ def at_places(df: DataFrame, by: Sequence[str], order: Sequence[str], places: di
     return hit.where(F.size("_hit") > 0).select(*df.columns, F.explode("_hit.name").alias("_name"))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in one total order: ranges of the order are counted, and rows numbered in their range."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
+    # one row for each range: the only thing that one task sees whole
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.select(*df.columns, place.cast("bigint").alias(name))
+
+
 def position_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], numerator: int, denominator: int) -> DataFrame:
     """The row at the 1-based position ceil(n * numerator / denominator) of each group."""
     return at_places(df, by, order, {"at": lambda n: F.ceil(n * numerator / denominator) - 1}).drop("_name")

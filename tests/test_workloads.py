@@ -201,6 +201,8 @@ def test_places_in_groups_with_nulls_ties_and_odd_sizes(spark):
     big = spark.range(5000).selectExpr("id % 3 g", "id v").repartition(7)
     assert sorted((r.g, r.v) for r in windows.position_in_group(big, ["g"], ["v"], 1, 2).collect()) == [(0, 2499), (1, 2500), (2, 2498)]
     assert aggregates.index_pick(df.where("v > 99"), ["g"], "v", {"mid": (1, 2)}).count() == 0
+    places = windows.numbered(big, F.desc("v"), F.asc("g"))
+    assert places.where("place <> 5000 - v").count() == 0 and places.count() == 5000 and windows.numbered(big.where("v < 0"), F.asc("v")).count() == 0
 
 
 def test_a_cost_choice_deals_accesses_out_once(spark):
