@@ -426,12 +426,12 @@ def vote_decisions(spark, sf_dir):
     return votes.decided(rows.select(F.col("l_orderkey").alias("txn"), (F.col("l_suppkey") % 4).alias("node"), F.col("l_linenumber").alias("participants"), (F.col("l_quantity") < 48).alias("vote")))
 
 
-_PAIRS = "SELECT a.c_custkey AS source, b.c_custkey AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 2 = 1"
+_PAIRS = "SELECT a.c_custkey AS source, b.c_custkey AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1"
 
 
 def _accounts(spark, sf_dir):
     rows = load(spark, sf_dir, "customer")
-    pairs = rows.where("c_custkey % 2 = 1").selectExpr("c_custkey source", "c_custkey + 1 target").join(rows.select(F.col("c_custkey").alias("target")), "target", "left_semi")
+    pairs = rows.selectExpr("c_custkey source", "c_custkey + 1 target").join(rows.select(F.col("c_custkey").alias("target")), "target", "left_semi")
     return rows.selectExpr("c_custkey acct_id", "c_acctbal bal"), rows.selectExpr("c_custkey acct_id", "double(c_nationkey) bal"), pairs
 
 
