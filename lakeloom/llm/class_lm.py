@@ -15,10 +15,12 @@ in buckets of words; a round turns a word's links into counts by the neighbours'
 words before and after it likeliest, given the class pairs so far (such a word is at most 1 / SEEDS of all tokens). From the second round on,
 words move in turns of one half, and a round counts only if the likelihood, taken anew from all pairs, has risen. Texts are turned into sequences of symbols once; class pairs are counted on these.
 
-The clustered words' hashes, counts and classes are held in memory, in the driver and in the workers: HELD words at most
-(20 bytes each). If more have MIN_COUNT tokens, the least count rises until they fit; held=None holds them all,
-whatever their number. Scoring joins the other words of a text to the counts by the word's hash: only their sum of log10(c + 0.5)
-is needed, so the join returns one row for each text. Words are identified by a 64-bit hash.
+The hashes, counts and symbols of the HELD most frequent clustered words are held in memory, in the driver and in the workers
+(20 bytes each; held=None holds all). All others are ranked in Spark and found by joins on the word's hash, which fill their symbols
+into the sequences, so they are clustered like any: the result doesn't depend on `held`. What grows with the vocabulary is the class
+of each clustered word while training (two bytes a word; the driver takes 20 more for a moment, for shapes and moves). Scoring joins
+the words of a text that aren't held to their counts and classes, once for each text and word, and takes the steps
+between classes when they are known. Words are identified by a 64-bit hash.
 
 Defined results: a null text is an empty text, whose only token is the end. Without a training text (no rows, or all held out)
 nothing is known: every class is equally likely, and so is every word.
@@ -31,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._durable import cut, written
+from lakeloom.llm._durable import smaller_partitions, written
 from lakeloom.llm._text import U64, slices, span_hashes, word_spans
 
 MIN_COUNT, HELD = 2, 1_000_000
@@ -133,12 +135,53 @@ class Vocabulary:
         return np.where(at >= 0, self.symbols[at], shape) if len(self.hashes) else shape
 
 
-def _sequences(batches: Iterable[pa.RecordBatch], words: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Symbols of runs of whole texts, each text with its end, as packed 32-bit numbers."""
+def _others(owner: np.ndarray, h: np.ndarray, place: np.ndarray, owners: int) -> list[pa.Array]:
+    """The distinct words of each owner, as hashes, and the places of each."""
+    order = np.lexsort((h, owner))
+    owner, h, place = owner[order], h[order], place[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(new)
+    cuts = pa.array(np.searchsorted(owner[begin], np.arange(owners + 1)).astype(np.int32))
+    places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    return [pa.ListArray.from_arrays(cuts, pa.array(h[begin].view(np.int64))), pa.ListArray.from_arrays(cuts, places)]
+
+
+def _fill(flat: np.ndarray, starts: np.ndarray, values: pa.Array, places: pa.Array) -> None:
+    """Writes each owner's values (a list) to their places (a list of lists), counted from the owner's start."""
+    owner = np.repeat(np.arange(len(values)), values.value_lengths().to_numpy(zero_copy_only=False))
+    inner = places.flatten()
+    times = inner.value_lengths().to_numpy(zero_copy_only=False)
+    flat[starts[np.repeat(owner, times)] + inner.flatten().to_numpy()] = np.repeat(values.flatten().to_numpy(), times)
+
+
+def _sequences(batches: Iterable[pa.RecordBatch], words: Vocabulary, more: bool) -> Iterator[pa.RecordBatch]:
+    """Symbols of runs of whole texts, each text with its end, as packed 32-bit numbers; if there are more words than these,
+    the run's words that aren't among them, and their places."""
     for batch in batches:
         for _, _, data, offs in slices(batch.column(0)):
             h, shape, first = _tokens(data, offs)
-            yield pa.RecordBatch.from_arrays([pa.array([_with_ends(words.symbols_of(h, shape), first, END).astype(np.int32).tobytes()], pa.binary())], ["s"])
+            s = _with_ends(words.symbols_of(h, shape), first, END).astype(np.int32)
+            open_ = np.flatnonzero(_find(words.hashes, h) < 0) if more else np.zeros(0, np.int64)
+            place = open_ + np.searchsorted(first[1:], open_, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), *_others(np.zeros(len(open_), np.int64), h[open_], place, 1)], ["s", "h", "places"])
+
+
+def _filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences with the symbols of the words that weren't held at their places."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            one = batch.slice(r, 1)
+            s = np.frombuffer(one.column(0)[0].as_buffer(), np.int32).copy()
+            _fill(s, np.zeros(1, np.int64), one.column(1), one.column(2))
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
+
+
+def _met(owners: DataFrame, by: str, words: DataFrame, value: str, *sums: Column) -> DataFrame:
+    """For each owner (by, h, places: lists), its words' values and their places, and sums over its words; a left join."""
+    asked = owners.selectExpr(by, "explode(arrays_zip(h, places)) x").selectExpr(by, "x.h h", "x.places places")
+    known = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(value, "places"))).alias("known words")
+    return asked.join(words, "h", "left").groupBy(by).agg(known, *sums).selectExpr("*", f"`known words`.{value} {value}", "`known words`.places places").drop("known words")
 
 
 def _class_pairs(batches: Iterable[pa.RecordBatch], of: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
@@ -272,30 +315,34 @@ def exchange_pass(m: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndar
 
 @dataclass
 class Model:
-    """All that scoring holds in memory: bounded by the clustered words and the number of classes squared."""
+    """All that scoring holds in memory: bounded by the words held and the number of classes squared."""
 
     words: Vocabulary
-    symbol_class: np.ndarray  # class of each symbol
+    symbol_class: np.ndarray  # class of each symbol, those of the words held
     transition: np.ndarray  # log10 P(class | last class)
     spread: np.ndarray  # log10 of each class's emission denominator
-    least: int  # least count of a clustered word
     tokens: int
     types: int
     ends: int
 
 
-def _least_count(counts: DataFrame, min_count: int, held: int | None) -> int:
-    """The least count, min_count or more, that at most `held` words have: from their numbers by ranges of counts."""
-    if held is None:
-        return min_count
-    step = F.when(F.col("n") < 1000, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 128) + 1000)
-    found = counts.where(F.col("n") >= min_count).groupBy(step.alias("step")).agg(F.count("*").alias("types"), F.min("n").alias("from"), F.max("n").alias("to")).orderBy(F.desc("from")).collect()
-    seen, least = 0, min_count
-    for r in found:
-        seen += r.types
-        if seen > held:
-            return r.to + 1
-    return least
+def _ranked(counts: DataFrame, min_count: int) -> DataFrame:
+    """(rank, h, shape, n) of the words of min_count or more tokens: from 0, the most frequent first, ties by hash. Nothing is
+    gathered: ranks are places in the partitions of a sorted table."""
+    order = (F.desc("n"), F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+    rows = written(counts.where(F.col("n") >= min_count).orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before, starts = 0, {}
+    for p, n in sorted(rows.groupBy(part).count().collect()):
+        starts[p], before = before, before + n
+    start = F.create_map(*[F.lit(x).cast("bigint") for p in starts.items() for x in p])[part] if starts else F.lit(0)
+    return rows.select((F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + start).alias("rank"), "h", F.col("shape").cast("byte").alias("shape"), "n")
+
+
+def _classed(batches: Iterable[pa.RecordBatch], of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, shape, n, class) of words (rank, h, shape, n)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(of[FIXED + batch.column(0).to_numpy()].astype(np.int32))], ["h", "shape", "n", "class"])
 
 
 def seed_classes(pairs: np.ndarray, classes: int, passes: int) -> np.ndarray:
@@ -317,25 +364,39 @@ def seed_classes(pairs: np.ndarray, classes: int, passes: int) -> np.ndarray:
 
 
 def _train(texts: DataFrame, *, min_count: int = MIN_COUNT, held: int | None = HELD, seeds: int = SEEDS, classes: int = CLASSES, passes: int = PASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and (h, shape, n) of all training words."""
+    """The model, and (h, n, class) of the training words that it doesn't hold; those of less than min_count have no class."""
     sc = texts.sparkSession.sparkContext
     counts = written(texts.mapInArrow(_count_words, "h bigint, shape bigint, n bigint").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")))
     ends = texts.count()
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n = tokens + ends
-    least = _least_count(counts, min_count, held)
-    got = counts.where(F.col("n") >= least).select("h", F.col("shape").cast("byte").alias("shape"), "n").toArrow().combine_chunks()
+    clustered = counts.where(F.col("n") >= min_count)
+    all_words = clustered.count()
+    held = all_words if held is None else min(max(held, seeds), all_words)
+    ranked = _ranked(counts, min_count) if held < all_words else None
+    got = (clustered if ranked is None else ranked.where(F.col("rank") < held)).select("h", F.col("shape").cast("byte").alias("shape"), "n").toArrow().combine_chunks()
     h, shape, many = got["h"].to_numpy().view(U64), got["shape"].to_numpy().astype(np.int64), got["n"].to_numpy()
     rank = np.lexsort((h, -many))
     h, shape, many = h[rank], shape[rank], many[rank]
     order = np.argsort(h)
     words = Vocabulary(h[order], (FIXED + order).astype(np.int32), many[order])
-    seeds = min(seeds, len(h))
-    total = FIXED + (classes if len(h) else 0)
-    of = np.concatenate([np.arange(FIXED), shape]).astype(np.int16)
+    seeds = min(seeds, all_words)
+    total = FIXED + (classes if all_words else 0)
+    of = np.empty(FIXED + all_words, np.int16)
+    of[:FIXED], of[FIXED : FIXED + held] = np.arange(FIXED), shape
 
     share = sc.broadcast(words)
-    sequences = written(texts.mapInArrow(lambda it: _sequences(it, share.value), "s binary"))
+    more = ranked is not None
+    sequences = written(texts.mapInArrow(lambda it: _sequences(it, share.value, more), "s binary, h array<bigint>, places array<array<int>>").withColumn("run", F.monotonically_increasing_id()))
+    if more:
+        tail = ranked.where(F.col("rank") >= held)
+        for r in tail.select(F.col("rank").cast("int").alias("rank"), "shape").toArrow().to_batches():
+            of[FIXED + r.column(0).to_numpy()] = r.column(1).to_numpy()
+        found = _met(sequences, "run", tail.select("h", (F.col("rank") + FIXED).cast("int").alias("symbol")), "symbol")
+        with smaller_partitions(texts.sparkSession, "16m"):
+            whole = sequences.select("run", "s").join(found, "run", "left").select("s", F.coalesce("symbol", F.expr("array()")).alias("symbol"), F.coalesce("places", F.expr("array()")).alias("places"))
+            sequences = written(whole.mapInArrow(_filled, "s binary"))
+    sequences = sequences.select("s")
 
     def class_pairs(of: np.ndarray, total: int) -> np.ndarray:
         given = sc.broadcast(of)
@@ -346,10 +407,11 @@ def _train(texts: DataFrame, *, min_count: int = MIN_COUNT, held: int | None = H
         return m.reshape(total, total)
 
     if seeds:
-        apart = np.concatenate([np.arange(FIXED), FIXED + np.arange(seeds), shape[seeds:]]).astype(np.int32)
+        apart = of.astype(np.int32)
+        apart[FIXED : FIXED + seeds] = FIXED + np.arange(seeds)
         of[: FIXED + seeds] = seed_classes(class_pairs(apart, FIXED + seeds), classes, passes)
     m = class_pairs(of, total)
-    first, rest = FIXED + seeds, len(h) - seeds
+    first, rest = FIXED + seeds, all_words - seeds
     if rest and rounds:
         buckets = int(min(max(1, rest // BUCKET_WORDS, n // BUCKET_TOKENS), MOST_BUCKETS, rest))
         links = sequences.mapInArrow(lambda it: _links(it, first, buckets), "bucket int, links binary")
@@ -372,18 +434,27 @@ def _train(texts: DataFrame, *, min_count: int = MIN_COUNT, held: int | None = H
     size, kinds = np.zeros(total), np.zeros(total)
     for s, c, v in counts.groupBy("shape").agg(F.sum("n"), F.count("*")).collect():
         size[s], kinds[s] = c, v
-    for sign, where in ((-1, shape), (1, of[FIXED:])):
+    for sign, where in ((-1, shape), (1, of[FIXED : FIXED + held])):
         np.add.at(size, where, sign * many)
         np.add.at(kinds, where, sign)
+    others = counts.where(F.col("n") < min_count).selectExpr("h", "n", "cast(null as int) class")
+    if more:
+        given = sc.broadcast(of)
+        tail = written(tail.mapInArrow(lambda it: _classed(it, given.value), "h bigint, shape byte, n bigint, class int"))
+        for s, k, c, v in tail.groupBy("shape", "class").agg(F.sum("n"), F.count("*")).collect():
+            size[[s, k]] += [-c, c] if s != k else [0, 0]
+            kinds[[s, k]] += [-v, v] if s != k else [0, 0]
+        others = others.union(tail.select("h", "n", "class"))
     size[END], kinds[END] = ends, 1
     prior = (size + 0.5) / (n + 0.5 * total)
     transition = np.log10((m + SMOOTH * prior[None, :]) / (m.sum(1)[:, None] + SMOOTH))
-    return Model(words, of, transition, np.log10(size + 0.5 * (kinds + 1)), least, n, types + 1 if n else 0, ends), counts
+    return Model(words, of[: FIXED + held], transition, np.log10(size + 0.5 * (kinds + 1)), n, types + 1 if n else 0, ends), others
 
 
 def _score_batches(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """(key, n_tokens, known, logs, rest, rare, times): known words' sums here, the others' hashes and how often."""
+    """(key, n_tokens, known, logs, seq, h, places): held words' sums, the classes so far, and the other words and their places."""
     log_count = np.log10(model.words.counts + 0.5)
+    kind = np.min_scalar_type(len(model.transition) - 1)
     for batch in batches:
         for i, j, data, offs in slices(batch.column(1)):
             h, shape, first = _tokens(data, offs)
@@ -395,23 +466,28 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[
             logs = np.bincount(doc[known], weights=log_count[at[known]], minlength=docs).astype(np.float64)
             k = shape.copy()
             k[known] = model.symbol_class[model.words.symbols[at[known]]]
-            spread = np.bincount(doc, weights=model.spread[k], minlength=docs).astype(np.float64)
-            seq = _with_ends(k, first, END)
-            step = model.transition[np.concatenate([[END], seq[:-1]]), seq]
-            steps = np.add.reduceat(step, first[:-1] + np.arange(docs)) if docs else np.zeros(0)
-            rare_doc, rare_h = doc[~known], h[~known]
-            order = np.lexsort((rare_h, rare_doc))
-            rare_doc, rare_h = rare_doc[order], rare_h[order]
-            new = np.ones(len(rare_h), dtype=bool)
-            new[1:] = (rare_h[1:] != rare_h[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-            begin = np.flatnonzero(new)
-            times = np.diff(np.concatenate([begin, [len(rare_h)]]))
-            cuts = pa.array(np.searchsorted(rare_doc[begin], np.arange(docs + 1)).astype(np.int32))
+            seq = _with_ends(k, first, END).astype(kind)
+            cuts = pa.py_buffer(((first + np.arange(docs + 1)) * kind.itemsize).astype(np.int32))
+            place = np.arange(len(h)) - first[:-1][doc]
             columns = [
-                batch.column(0).slice(i, docs), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(logs), pa.array(steps - spread),
-                pa.ListArray.from_arrays(cuts, pa.array(rare_h[begin].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times)),
+                batch.column(0).slice(i, docs), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(logs),
+                pa.Array.from_buffers(pa.binary(), docs, [None, cuts, pa.py_buffer(seq)]), *_others(doc[~known], h[~known], place[~known], docs),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "known", "logs", "rest", "rare", "times"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "known", "logs", "seq", "h", "places"])
+
+
+def _steps(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(key, n_tokens, known, logs, rest) of (key, n_tokens, known, logs, seq, class, places), when all classes are known."""
+    kind = np.min_scalar_type(len(model.transition) - 1)
+    spread = model.spread.copy()
+    spread[END] = 0.0  # the end is its class's only word
+    for batch in batches:
+        for i, j, data, offs in slices(batch.column(4)):
+            seq, starts = data.view(kind).copy(), offs // kind.itemsize
+            _fill(seq, starts[:-1], batch.column(5).slice(i, j - i), batch.column(6).slice(i, j - i))
+            step = model.transition[np.concatenate([[END], seq[:-1]]), seq] - spread[seq]
+            rest = np.add.reduceat(step, starts[:-1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(4)], pa.array(rest)], ["key", "n_tokens", "known", "logs", "rest"])
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **training: int | None) -> DataFrame:
@@ -422,22 +498,24 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **trainin
     """
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(docs[key].cast("string")) % 5 == 1, F.lit(False))
-    model, counts = _train(docs.where(~out).select(F.coalesce(docs[text], F.lit("")).alias("text")), **training)
+    model, others = _train(docs.where(~out).select(F.coalesce(docs[text], F.lit("")).alias("text")), **training)
     share = spark.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens bigint, known bigint, logs double, rest double, rare array<bigint>, times array<bigint>"
+    fields = f"key {kind}, n_tokens bigint, known bigint, logs double"
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    schema = f"{fields}, seq binary, h array<bigint>, places array<array<int>>"
     found = written(rows.mapInArrow(lambda it: _score_batches(it, share.value), schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = found.selectExpr("row", "explode(arrays_zip(rare, times)) x").selectExpr("row", "x.rare h", "x.times t")
-    # of the words that aren't held in memory; a left join, as words that training lacks add log10(0.5) each
-    met = rare.join(counts.where(F.col("n") < model.least).select("h", "n"), "h", "left")
-    sums = met.groupBy("row").agg(F.sum(F.expr("t * log10(coalesce(n, 0) + 0.5D)")).alias("more"), F.sum(F.expr("if(n is null, 0, t)")).alias("seen"))
+    # words that training lacks add log10(0.5) each
+    more, seen = F.sum(F.expr("size(places) * log10(coalesce(n, 0) + 0.5D)")).alias("more"), F.sum(F.expr("if(n is null, 0, size(places))")).alias("seen")
+    sums = _met(found, "row", others, "class", more, seen)
+    added = (F.col("known") + F.coalesce("seen", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs")
+    classes = [F.coalesce(c, F.expr("array()")).alias(c) for c in ("class", "places")]
+    all_ = found.drop("h", "places").join(sums, "row", "left").select("key", "n_tokens", *added, "seq", *classes).mapInArrow(lambda it: _steps(it, share.value), f"{fields}, rest double")
     whole = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     end = float(np.log10(model.ends + 0.5))
-    all_ = found.drop("rare", "times").join(sums, "row", "left").withColumn("logs", F.col("logs") + F.coalesce("more", F.lit(0.0)))
     result = all_.select(
         F.col("key").alias(key), F.coalesce(F.crc32(F.col("key").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0)) + F.lit(int(model.ends > 0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("known") + F.lit(int(model.ends > 0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("logs") + F.col("rest")).alias("score"),
     )
     return result.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

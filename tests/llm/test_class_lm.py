@@ -110,6 +110,21 @@ def test_scores_equal_brute_force_by_the_classes_learnt(spark):
     assert sorted(round(r.score, 6) for r in got) == sorted(round(x, 6) for x in want.values())
 
 
+def test_words_beyond_those_held_are_clustered_like_any(spark):
+    df = spark.createDataFrame(corpus(), "doc_id bigint, text string")
+    got = []
+    for held in (None, 20):
+        out = class_lm.score(df, held=held, min_count=2, classes=6, seeds=8).collect()
+        got.append(sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in out))
+    assert got[0] == got[1]
+    train = df.selectExpr("coalesce(text, '') text")
+    model, others = class_lm._train(train, held=20, min_count=2, classes=6, seeds=8)
+    count = Counter(w for _, t in corpus() for w in words(t) if w)
+    rest = others.collect()
+    assert len(model.words.counts) == 20 and len(rest) == len(count) - 20
+    assert all((r["class"] is None) == (r.n < 2) for r in rest) and any((r["class"] or 0) >= class_lm.FIXED for r in rest)
+
+
 def test_rounds_in_spark_raise_the_likelihood_and_find_the_classes(spark):
     rng = random.Random(3)
     groups = [[f"{g}{i}" for i in range(30)] for g in "abc"]
