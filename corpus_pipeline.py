@@ -43,8 +43,8 @@ BROADCAST_ROWS = 1_000_000
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row of each group of near copies: the one of the smallest doc_id (of rows that repeat it, that of the least hash).
 
-    Groups are those of 5-word shingles with a similarity of 0.8 or more, and what they reach; rows are told apart by
-    doc_id and a hash of all columns. Rows with a null doc_id belong to no group and stay.
+    Groups are those of 5-word shingles with a similarity of 0.8 or more, and what they reach, found by SimHash and completed by
+    MinHash (near.py); rows are told apart by doc_id and a hash of all columns. Rows with a null doc_id belong to no group and stay.
     """
     _small_batches(spark)
     maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}  # which have no hash

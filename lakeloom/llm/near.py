@@ -3,10 +3,10 @@
 Words are those of the fingerprints (A-Z lowered, cut at ASCII white space); a text of fewer words is one shingle of all
 its words, and texts without words have the empty set, equal to itself. Texts of equal sets are one node.
 
-Fingerprints can't find these pairs at scale: at 0.8 those of 64 bits differ by up to 19 bits, and blocks for such a radius have
-three or four; those of 256 bits, in 16 segments with balls of one bit, need 272 look-ups a node and meet a fixed share of all
-nodes (the README has figures). So nodes meet by MinHash: BANDS keys of ROWS minima each. A pair of similarity s shares none with a
-probability of (1 - s**ROWS)**BANDS: 5e-8 at 0.8, less above.
+Nodes are linked by SimHash: fingerprints of 256 bits of their shingles, multi-index search in 16 segments with balls of one bit,
+verified distances (simhash.wide_links), and then the exact similarity of the sets. A pair at 0.8 lies outside all balls with a probability
+of 0.5 %, and of a crowd only the closest links are checked. So that no link is lost, what that leaves is completed by MinHash: BANDS keys of
+ROWS minima each. A pair of similarity s shares none with a probability of (1 - s**ROWS)**BANDS: 5e-8 at 0.8, less above.
 
 Nodes that share a key form a bucket, which is never gathered. Its nodes, wherever they lie, are compared by the exact similarity of
 their sets with the bucket's pivots (the same few serve all buckets of a group of copies), and groups are made of all
@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm import simhash
 from lakeloom.llm._components import components
 from lakeloom.llm._durable import written
 from lakeloom.llm._text import U64, buffers, give_back, mix64, shingle_hashes, slices, span_hashes, word_spans
+from lakeloom.llm.simhash import wide_prints
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -75,7 +77,7 @@ def band_keys(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _band_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, mark, sid, size, bands) of (key, mark, text): sid is a hash of the set; the empty set has no bands."""
+    """(key, mark, sid, size, fp, bands) of (key, mark, text): sid is a hash of the set; the empty set has no bands."""
     for batch in batches:
         for i, j, data, offs in slices(batch.column(2)):
             h, at = shingle_sets(data, offs)
@@ -85,7 +87,9 @@ def _band_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys = band_keys(h, np.append(at[some], len(h)))
             cuts = np.concatenate([[0], np.cumsum((np.diff(at) > 0) * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sid.view(np.int64)), pa.array(np.diff(at)), bands], ["key", "mark", "sid", "size", "bands"])
+            prints = wide_prints(h, np.repeat(np.arange(j - i), np.diff(at)), np.diff(at))
+            fp = pa.array([row.tobytes() for row in prints], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sid.view(np.int64)), pa.array(np.diff(at)), fp, bands], ["key", "mark", "sid", "size", "fp", "bands"])
 
 
 def _near(x: np.ndarray, flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -153,7 +157,8 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (sid, first, size, bands), complete up to reachability; rows (key, mark, text)."""
+    """Links (a, b) between nodes (sid, first, size, fp, bands), complete up to reachability; rows (key, mark, text)."""
+    close = written(simhash.wide_links(nodes.where("size > 0").select("sid", "fp")))
     in_bands = nodes.select("sid", "size", F.explode("bands").alias("band"))
     least = [F.min(F.struct(F.xxhash64("sid", F.lit(k)), "sid", "size")).alias(f"p{k}") for k in range(PIVOTS)]
     shared = in_bands.groupBy("band").agg(F.count("*").alias("n"), *least).where("n > 1")
@@ -161,6 +166,7 @@ def _links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     member = written(in_bands.join(shared.select("band", "n", F.array_distinct(pivots).alias("pivots")), "band"))
     alike = F.filter("pivots", lambda p: (p["sid"] != F.col("sid")) & (F.least("size", p["size"]) >= SIMILARITY * F.greatest("size", p["size"]) - 1e-9))
     asked = member.select("sid", alike["sid"].alias("pivots"), F.exists("pivots", lambda p: p["sid"] == F.col("sid")).alias("is_pivot"))
+    asked = asked.union(close.selectExpr("a", "array(b)", "false")).union(close.selectExpr("b", "array()", "true"))
     asked = asked.groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"), F.bool_or("is_pivot").alias("is_pivot"))
     asked = asked.join(nodes.selectExpr("sid", "first.key", "first.mark"), "sid")
     # rows that are equal in all columns meet where the join has dealt them out
@@ -193,7 +199,7 @@ def firsts(docs: DataFrame, *, key: str, mark: str, text: str) -> DataFrame:
     """(key, mark) of the first row of each group of near copies, by key and then mark. Rows with a null key are left out."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(text).alias("text"))
-    all_ = rows.mapInArrow(_band_batches, f"key {kind}, mark bigint, sid bigint, size bigint, bands array<bigint>")
-    nodes = written(all_.groupBy("sid").agg(F.min(F.struct("key", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    all_ = rows.mapInArrow(_band_batches, f"key {kind}, mark bigint, sid bigint, size bigint, fp binary, bands array<bigint>")
+    nodes = written(all_.groupBy("sid").agg(F.min(F.struct("key", "mark")).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     labels = components(_links(nodes, rows))
     return nodes.select("sid", "first").join(labels.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("component", "sid").alias("c")).agg(F.min("first").alias("f")).selectExpr("f.key", "f.mark")
