@@ -14,10 +14,12 @@ of pairs, which is of fixed size. Then all others are moved, in rounds: their li
 in buckets of words; a round turns a word's links into counts by the neighbours' classes and moves it to the class that makes the
 words before and after it likeliest, given the class pairs so far (such a word is at most 1 / SEEDS of all tokens). From the second round on,
 words move in turns of one half, and a round counts only if the likelihood, taken anew from all pairs, has risen. Texts are turned into sequences of symbols once; class pairs are counted on these.
+Training asks for nothing but neighbours, so a sequence may have breaks.
 
 The hashes, counts and symbols of the HELD most frequent clustered words are held in memory, in the driver and in the workers
-(20 bytes each; held=None holds all). All others are ranked in Spark and found by joins on the word's hash, which fill their symbols
-into the sequences, so they are clustered like any: the result doesn't depend on `held`. What grows with the vocabulary is the class
+(20 bytes each; held=None holds all). All others are ranked in Spark. They are breaks of the texts' sequences, which stay where they are;
+such a word and its two neighbours make a short sequence of their own, shuffled by the word's hash to its symbol (a neighbour that isn't
+held either goes first, to its own symbol). So they are clustered like any: the result doesn't depend on `held`. What grows with the vocabulary is the class
 of each clustered word while training (two bytes a word; the driver takes 20 more for a moment, for shapes and moves). Scoring joins
 the words of a text that aren't held to their counts and classes, once for each text and word, and takes the steps
 between classes when they are known. Words are identified by a 64-bit hash.
@@ -36,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._durable import smaller_partitions, written
-from lakeloom.llm._text import U64, slices, span_hashes, word_spans
+from lakeloom.llm._durable import written
+from lakeloom.llm._text import U64, buffers, slices, span_hashes, word_spans
 
 MIN_COUNT, HELD = 2, 1_000_000
 SEEDS, CLASSES, PASSES, ROUNDS, SMOOTH = 1_000, 128, 4, 3, 5.0
@@ -52,6 +54,7 @@ _LENGTHS = np.array([3, 7, 12])
 SHAPES = 20
 END = SHAPES  # symbols: shapes, the end, then clustered words, the most frequent first
 FIXED = SHAPES + 1
+BREAK = -1  # in a sequence: what is before it isn't next to what is after it
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,26 +158,51 @@ def _fill(flat: np.ndarray, starts: np.ndarray, values: pa.Array, places: pa.Arr
     flat[starts[np.repeat(owner, times)] + inner.flatten().to_numpy()] = np.repeat(values.flatten().to_numpy(), times)
 
 
+def _list(names: list[str], columns: list[pa.Array]) -> pa.Array:
+    """One list of structs."""
+    return pa.ListArray.from_arrays(pa.array([0, len(columns[0])], pa.int32()), pa.StructArray.from_arrays(columns, names))
+
+
 def _sequences(batches: Iterable[pa.RecordBatch], words: Vocabulary, more: bool) -> Iterator[pa.RecordBatch]:
-    """Symbols of runs of whole texts, each text with its end, as packed 32-bit numbers; if there are more words than these,
-    the run's words that aren't among them, and their places."""
+    """Symbols of runs of whole texts, each text with its end, as packed 32-bit numbers.
+
+    If there are more words than these, the run's words that aren't among them are breaks, and listed: each with the symbols before
+    and after its places (32 bits each, big-endian, a break for another such word), and pairs of two such words.
+    """
     for batch in batches:
         for _, _, data, offs in slices(batch.column(0)):
             h, shape, first = _tokens(data, offs)
             s = _with_ends(words.symbols_of(h, shape), first, END).astype(np.int32)
             open_ = np.flatnonzero(_find(words.hashes, h) < 0) if more else np.zeros(0, np.int64)
             place = open_ + np.searchsorted(first[1:], open_, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), *_others(np.zeros(len(open_), np.int64), h[open_], place, 1)], ["s", "h", "places"])
+            s[place] = BREAK
+            h, shape = h[open_], shape[open_].astype(np.int8)
+            sides = np.stack([np.where(place > 0, s[place - 1], END), s[place + 1]], axis=1).astype(">i4")
+            one = np.flatnonzero(sides[:, 1] == BREAK)  # the next such word is next to it
+            pairs = [pa.array(x) for x in (h[one].view(np.int64), shape[one], h[one + 1].view(np.int64), shape[one + 1])]
+            some = np.flatnonzero((sides != BREAK).any(axis=1))
+            some = some[np.argsort(h[some], kind="stable")]
+            begin = np.flatnonzero(np.append(True, h[some[1:]] != h[some[:-1]])) if len(some) else some
+            cuts, kind = pa.py_buffer((np.append(begin, len(some)) * 8).astype(np.int32)), some[begin]
+            around = pa.Array.from_buffers(pa.binary(), len(begin), [None, cuts, pa.py_buffer(sides[some].tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([s.tobytes()], pa.binary()),
+                    _list(["h", "shape", "around"], [pa.array(h[kind].view(np.int64)), pa.array(shape[kind]), around]),
+                    _list(["h", "shape", "next", "next_shape"], pairs),
+                ],
+                ["s", "words", "pairs"],
+            )
 
 
 def _filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequences with the symbols of the words that weren't held at their places."""
+    """Sequences of the words that weren't held, each between its neighbours, from (symbol, around)."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            one = batch.slice(r, 1)
-            s = np.frombuffer(one.column(0)[0].as_buffer(), np.int32).copy()
-            _fill(s, np.zeros(1, np.int64), one.column(1), one.column(2))
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
+        data, cuts = buffers(batch.column(1))
+        s = np.full((len(data) // 8, 4), BREAK, np.int32)
+        s[:, [0, 2]] = data.view(">i4").reshape(-1, 2)
+        s[:, 1] = np.repeat(batch.column(0).to_numpy(), np.diff(cuts) // 8)
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(np.int32(BREAK), s).tobytes()], pa.binary())], ["s"])
 
 
 def _met(owners: DataFrame, by: str, words: DataFrame, value: str, *sums: Column) -> DataFrame:
@@ -189,8 +217,13 @@ def _class_pairs(batches: Iterable[pa.RecordBatch], of: np.ndarray, total: int)
     cells = None
     for batch in batches:
         for blob in batch.column(0):
-            c = of[np.frombuffer(blob.as_buffer(), np.int32)].astype(np.int64)
-            part = np.bincount(np.concatenate([[END], c[:-1]]) * total + c, minlength=total * total)
+            s = np.frombuffer(blob.as_buffer(), np.int32)
+            c = of[s].astype(np.int64)
+            pair, broken = np.concatenate([[END], c[:-1]]) * total + c, s == BREAK
+            if broken.any():
+                broken[1:] |= s[:-1] == BREAK
+                pair = pair[~broken]
+            part = np.bincount(pair, minlength=total * total)
             cells = part if cells is None else cells + part
     if cells is not None:
         pair = np.flatnonzero(cells)
@@ -219,7 +252,9 @@ def _links(batches: Iterable[pa.RecordBatch], first: int, buckets: int) -> Itera
             s = np.frombuffer(blob.as_buffer(), np.int32)
             at = np.flatnonzero(s >= first)
             word = s[at] - first
-            held += [(word, s[at + 1] * 2), (word, np.where(at > 0, s[at - 1], END) * 2 + 1)]
+            for other, side in ((s[at + 1], 0), (np.where(at > 0, s[at - 1], END), 1)):
+                met = other != BREAK
+                held.append((word[met], other[met] * 2 + side))
             if sum(len(w) for w, _ in held) > 1_000_000:
                 yield rows()
     if held:
@@ -387,16 +422,19 @@ def _train(texts: DataFrame, *, min_count: int = MIN_COUNT, held: int | None = H
 
     share = sc.broadcast(words)
     more = ranked is not None
-    sequences = written(texts.mapInArrow(lambda it: _sequences(it, share.value, more), "s binary, h array<bigint>, places array<array<int>>").withColumn("run", F.monotonically_increasing_id()))
+    lists = "words array<struct<h: bigint, shape: tinyint, around: binary>>, pairs array<struct<h: bigint, shape: tinyint, next: bigint, next_shape: tinyint>>"
+    runs = written(texts.mapInArrow(lambda it: _sequences(it, share.value, more), f"s binary, {lists}"))
+    sequences = runs.select("s")
     if more:
         tail = ranked.where(F.col("rank") >= held)
         for r in tail.select(F.col("rank").cast("int").alias("rank"), "shape").toArrow().to_batches():
             of[FIXED + r.column(0).to_numpy()] = r.column(1).to_numpy()
-        found = _met(sequences, "run", tail.select("h", (F.col("rank") + FIXED).cast("int").alias("symbol")), "symbol")
-        with smaller_partitions(texts.sparkSession, "16m"):
-            whole = sequences.select("run", "s").join(found, "run", "left").select("s", F.coalesce("symbol", F.expr("array()")).alias("symbol"), F.coalesce("places", F.expr("array()")).alias("places"))
-            sequences = written(whole.mapInArrow(_filled, "s binary"))
-    sequences = sequences.select("s")
+        ranks, symbol = tail.select("h", "rank"), F.coalesce(F.col("rank") + FIXED, "shape").cast("int")
+        # the first word of a pair, found, is what the second has before it
+        before = F.concat(F.unhex(F.lpad(F.hex(symbol), 8, "0")), F.unhex(F.lit(f"{BREAK & 0xFFFFFFFF:X}")))
+        second = runs.selectExpr("inline(pairs)").join(ranks, "h", "left").select(F.col("next").alias("h"), F.col("next_shape").alias("shape"), before.alias("around"))
+        found = runs.selectExpr("inline(words)").unionByName(second).join(ranks, "h", "left").select(symbol.alias("symbol"), "around")
+        sequences = sequences.union(written(found.mapInArrow(_filled, "s binary")))
 
     def class_pairs(of: np.ndarray, total: int) -> np.ndarray:
         given = sc.broadcast(of)

@@ -125,6 +125,44 @@ def test_words_beyond_those_held_are_clustered_like_any(spark):
     assert all((r["class"] is None) == (r.n < 2) for r in rest) and any((r["class"] or 0) >= class_lm.FIXED for r in rest)
 
 
+def test_words_beyond_those_held_are_clustered_like_any_next_to_each_other(spark):
+    rng = random.Random(5)
+    some = [f"w{i}{'aeé7-'[i % 5]}" for i in range(60)]
+    rows = [(" ".join(rng.choice(some if i % 3 else some[:6]) for _ in range(rng.randint(0, 40))),) for i in range(120)]
+    df = spark.createDataFrame([*rows, ("w7é w7é w7é",), ("once twice",), ("",), ("w9- twice w9- w9-",)], "text string")
+    training = dict(min_count=2, classes=5, seeds=4)
+    whole, _ = class_lm._train(df, held=None, **training)
+    less, others = class_lm._train(df, held=4, **training)  # most words next to words that aren't held either
+    assert len(less.words.counts) == 4 and others.where("class is not null").count() == len(whole.words.counts) - 4
+    assert np.array_equal(whole.transition, less.transition) and np.allclose(whole.spread, less.spread)
+    of = {h: int(whole.symbol_class[s]) for h, s in zip(whole.words.hashes.view(np.int64).tolist(), whole.words.symbols)}
+    assert all(of[r.h] == r["class"] for r in others.collect() if r["class"] is not None)
+
+
+def shuffled(spark, f):
+    """Bytes that f shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    f()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_texts_stay_where_they_are_when_some_words_are_not_held(spark):
+    rng = random.Random(6)
+    often = [f"o{i}" for i in range(1500)]
+    rows = [(" ".join(rng.choices(often, k=1500) + [f"rare{i // 2}"]),) for i in range(80)]
+    df = spark.createDataFrame(rows, "text string").coalesce(2)
+    training = dict(min_count=2, classes=4, seeds=10, passes=1, rounds=0)
+    every, less = (shuffled(spark, lambda: class_lm._train(df, held=held, **training)) for held in (None, 1500))
+    assert less - every < 80_000  # the ranks of 1,540 words and 80 places; the symbols of 120,000 tokens are more
+
+
 def test_rounds_in_spark_raise_the_likelihood_and_find_the_classes(spark):
     rng = random.Random(3)
     groups = [[f"{g}{i}" for i in range(30)] for g in "abc"]
